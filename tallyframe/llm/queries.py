@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from .bpe import op5
 from .exact_dedup import OP8_SQL, op8
+from .language import op7
+from .quality import op3
 
 QUERIES = {
+    "op3_quality": op3,
     "op5_byte_bpe": op5,
+    "op7_language": op7,
     "op8_exact_dedup": op8,
 }
 
