@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5
+from .decontaminate import op10
 from .exact_dedup import OP8_SQL, op8
 from .language import op7
 from .quality import op3
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_byte_bpe": op5,
     "op7_language": op7,
     "op8_exact_dedup": op8,
+    "op10_decontaminate": op10,
 }
 
 SQL = {
