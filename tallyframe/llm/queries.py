@@ -6,9 +6,11 @@ from .bpe import op5
 from .decontaminate import op10
 from .exact_dedup import OP8_SQL, op8
 from .language import op7
+from .minhash import op1
 from .quality import op3
 
 QUERIES = {
+    "op1_near_dedup": op1,
     "op3_quality": op3,
     "op5_byte_bpe": op5,
     "op7_language": op7,
