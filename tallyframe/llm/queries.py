@@ -8,10 +8,12 @@ from .exact_dedup import OP8_SQL, op8
 from .language import op7
 from .minhash import op1
 from .quality import op3
+from .repeats import op4
 
 QUERIES = {
     "op1_near_dedup": op1,
     "op3_quality": op3,
+    "op4_repeats": op4,
     "op5_byte_bpe": op5,
     "op7_language": op7,
     "op8_exact_dedup": op8,
