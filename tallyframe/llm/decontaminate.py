@@ -182,6 +182,32 @@ def strip_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
+def strip_contamination(docs: DataFrame, benchmark: DataFrame, chars_col: str = "n_chars", **settings) -> DataFrame:
+    """``docs`` without benchmark passages: spans are cut out, ``chars_col`` (if there) counts anew.
+
+    Texts without a hit are left as they are, nulls too; a text that had a hit and keeps no word goes.
+    """
+    found = find_contamination(docs, benchmark, **settings)
+    columns = [c for c in docs.columns if c not in NEW]
+
+    def run(batches):
+        for batch in batches:
+            spans = batch.column("spans").to_pylist()
+            texts, stay = batch.column("text").to_pylist(), []
+            for k, own in enumerate(spans):
+                if own:
+                    texts[k] = strip_spans(texts[k].encode(), [(x["start"], x["stop"]) for x in own]).decode()
+                stay.append(not own or bool(words_of(texts[k].encode())))
+            out = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            if chars_col in columns:
+                counts = [n if not own else len(x) for n, own, x in zip(batch.column(chars_col).to_pylist(), spans, texts)]
+                at = batch.schema.get_field_index(chars_col)
+                out = out.set_column(at, chars_col, pa.array(counts, batch.schema.field(at).type))
+            yield out.select(columns).filter(pa.array(stay, pa.bool_()))
+
+    return found.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in columns))
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

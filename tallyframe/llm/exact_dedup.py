@@ -100,6 +100,29 @@ def op8(spark, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def _with_digest(text_col: str):
+    def run(batches):
+        for batch in batches:
+            sha = [hashlib.sha256(x.translate(LOWER)).digest() for x in each_text(batch.column(text_col))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha, pa.binary())], [*batch.schema.names, "__digest"])
+
+    return run
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+    """The rows of ``docs`` that stay, whole: one for each text; the rules are those of exact_dedup."""
+    judged = exact_dedup(docs, id_col, text_col, keep)
+    same = judged.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
+    stays = stage(same.select(F.col("id").alias("__id"), F.col("digest").alias("__kept"), (F.col("rows") > 1).alias("__again")), "stays")
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["__digest binary"])
+    found = docs.mapInArrow(_with_digest(text_col), schema).join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")))
+    # rows that repeat both id and text all match; only those need a further look
+    once = found.where(~F.col("__again")).select(*docs.columns)
+    if stays.where("__again").isEmpty():
+        return once
+    return once.union(found.where("__again").dropDuplicates(["__id", "__digest"]).select(*docs.columns))
+
+
 OP8_SQL = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256

@@ -259,6 +259,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("id").isNull() | (F.col("id") == comp)).alias("kept"))
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that stay, whole: of each component the smallest id; rows with a null id stay."""
+    judged = near_duplicates(docs, id_col, text_col, **settings)
+    stays = stage(judged.where("kept and id is not null").groupBy("id").agg((F.count("*") > 1).alias("__again")).withColumnRenamed("id", "__id"), "stays")
+    found = docs.join(stays, F.col(id_col).cast("long") == F.col("__id"))
+    out = found.where(~F.col("__again")).select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    if stays.where("__again").isEmpty():
+        return out
+    return out.union(found.where("__again").dropDuplicates(["__id"]).select(*docs.columns))
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")

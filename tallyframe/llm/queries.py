@@ -11,6 +11,7 @@ from .minhash import op1
 from .quality import op3
 from .repeats import op4
 from .token_counts import op9
+from .warc import OP6_SQL, op6
 
 QUERIES = {
     "op1_near_dedup": op1,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_quality": op3,
     "op4_repeats": op4,
     "op5_byte_bpe": op5,
+    "op6_warc": op6,
     "op7_language": op7,
     "op8_exact_dedup": op8,
     "op9_token_counts": op9,
@@ -25,5 +27,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_warc": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
