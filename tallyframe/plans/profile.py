@@ -57,9 +57,19 @@ def column_profiles(long: DataFrame, freq: DataFrame, config: ProfileConfig = Pr
     The per-column parts are a row for each column, so the joins between them are small.
     """
     t = config.thresholds
-    types = infer.infer_types(long, freq, t)
+    spark = long.sparkSession
+    # the one mid-flight collect, a row a column: what no column needs is then not planned at all
+    inferred = infer.infer_types(long, freq, t)
+    types = spark.createDataFrame(inferred.collect(), inferred.schema)
+    kinds: dict[str, list[str]] = {}
+    for r in types.collect():
+        kinds.setdefault(r.type or "unknown", []).append(r.col)
     counts = distinct_counts(freq)
-    of_type = lambda df, kinds: df.join(F.broadcast(types.where(F.coalesce("type", F.lit("unknown")).isin(*kinds)).select("col")), "col", "left_semi")
+
+    def of_type(df: DataFrame, wanted: list[str]) -> DataFrame:
+        names = [c for k in wanted for c in kinds.get(k, [])]
+        return df.where(F.col("col").isin(names)) if names else spark.createDataFrame([], df.schema)
+
     text_kinds = ("alpha", "varchar", "code", "mixed", "unknown")
     n = numeric.numeric_profile(of_type(long, ["numeric"])).select("col", F.col("valid_count").alias("n_valid"), F.col("invalid_count").alias("n_invalid"), "min", "max", "mean", "median", "stddev", "quantiles", "gaussian_pvalue")
     bins = numeric.histogram(of_type(freq, ["numeric"])).groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("bin", "cnt"))).alias("histogram"))
@@ -72,7 +82,10 @@ def column_profiles(long: DataFrame, freq: DataFrame, config: ProfileConfig = Pr
     by = lambda level: F.map_from_entries(F.collect_list(F.when(F.col("level") == level, F.struct("key", "cnt"))))
     spread = spread.groupBy("col").agg(by("month").alias("by_month"), by("year").alias("by_year"), by("weekday").alias("by_weekday"))
     out = types.drop("distinct_count", "null_count").join(counts.drop("ordinal"), "col")
+    needs = {"numeric": (n, bins), "money": (m, examples), "date": (d, spread), "code": (c,)}
     for part in (n, bins, s, c, m, examples, d, spread, top_list(freq.where("value is not null and value != ''"), t.top_values)):
+        if any(part is x for k, parts in needs.items() if k not in kinds for x in parts):
+            part = spark.createDataFrame([], part.schema)
         out = out.join(F.broadcast(part), "col", "left")
     total = F.col("total_count")
     share = lambda c: F.when(total > 0, 100.0 * F.col(c) / total).otherwise(0.0)

@@ -94,9 +94,10 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     error code are in ``errors`` (code, message, line) instead; blank lines in neither."""
     sample = head(spark, path)
     found, sure = detect_delimiter(sample)
-    mark = delimiter or found
+    # what is declared only counts where nothing is detected
+    mark = delimiter if delimiter and sure <= 0.5 else found
     quoting, sure_quoted = detect_quoting(sample, mark)
-    quoting = quoting if quoted is None else quoted
+    quoting = quoted if quoted is not None and sure_quoted <= 0.5 else quoting
     names = read_header(sample if b"\n" in sample or len(sample) < SAMPLE_BYTES else head(spark, path, 1 << 20), mark, quoting, has_header)
     rows = parsed_rows(spark, path, mark, quoting, len(names))
     table = rows.where("error_code is null").select("_row_id", *(F.col("fields")[i].alias(name) for name, i in {name: i for i, name in enumerate(names)}.items()))  # of equal names the last counts
