@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUES, LOWER, UNBASE, buffers, mix, powers, stage, steps
+from .common import BASE, BYTE_VALUES, LOWER, UNBASE, buffers, mix, partitions, powers, stage, steps
 from .components import components
 
 _lower = np.frombuffer(LOWER, np.uint8)
@@ -147,34 +147,50 @@ def _likely(least: float):
     return run
 
 
-def _block_pairs(least: float):
-    """Of rows sorted by block pair: pairs of members of different components that agree enough."""
+def _shared(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with others (none empty)."""
+    flat = np.concatenate(many)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    sizes = np.fromiter(map(len, many), np.int64, len(many))
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _block_links(least: float, percent: int):
+    """Of rows sorted by block pair: verified links between members of different components.
+
+    A pair that shares several buckets is judged in that of its first band only. Sketches rule out
+    most pairs, full sets decide on the rest; no pair leaves the block but a link.
+    """
+    def links(rows):
+        ids, comps, part = (np.array([r[c] for r in rows]) for c in ("id", "comp", "part"))
+        band, apart = rows[0]["band"], rows[0]["left"] != rows[0]["right"]
+        sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+        earlier = np.array([r["bands"][:band] for r in rows], np.int64).reshape(len(rows), -1)
+        sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        for k in range(len(rows) - 1):
+            near = comps[k + 1:] != comps[k]
+            near &= np.minimum(sizes[k + 1:], sizes[k]) * 100 >= percent * np.maximum(sizes[k + 1:], sizes[k])
+            if apart:
+                near &= part[k + 1:] != part[k]
+            near = np.flatnonzero(near) + k + 1
+            near = near[(sketch[near] == sketch[k]).mean(1) >= least]
+            near = near[~(earlier[near] == earlier[k]).any(1)]
+            if len(near):
+                both = _shared(sets[k], [sets[x] for x in near])
+                near = near[100 * both >= percent * (sizes[k] + sizes[near] - both)]
+                if len(near):
+                    yield np.minimum(ids[near], ids[k]), np.maximum(ids[near], ids[k])
+
     def run(batches):
-        def pairs(rows):
-            ids, comps = np.array([r["id"] for r in rows]), np.array([r["comp"] for r in rows])
-            part = np.array([r["part"] for r in rows])
-            sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
-            apart = rows[0]["left"] != rows[0]["right"]
-            for k in range(len(rows) - 1):
-                other = comps[k + 1:] != comps[k]
-                if apart:
-                    other &= part[k + 1:] != part[k]
-                other = np.flatnonzero(other) + k + 1
-                other = other[(sketch[other] == sketch[k]).mean(1) >= least]
-                if len(other):
-                    yield np.minimum(ids[other], ids[k]), np.maximum(ids[other], ids[k])
-
-        held, key = [], None
+        held, key, found = [], None, []
         for batch in batches:
-            found = []
             for row in batch.to_pylist():
                 if (now := (row["bucket"], row["left"], row["right"])) != key:
-                    found += pairs(held) if len(held) > 1 else []
+                    found += links(held) if len(held) > 1 else []
                     held, key = [], now
                 held.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
-        found = list(pairs(held)) if len(held) > 1 else []
+        found += links(held) if len(held) > 1 else []
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
 
@@ -197,24 +213,17 @@ def _links(percent: int):
             good = []
             for a, b in zip(batch.column("sa"), batch.column("sb")):
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) else 0
+                both = int(_shared(a, [b])[0]) if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) else 0
                 good.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _verify(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The edges (a, b) that hold on full shingle sets; only texts named in an edge are fetched."""
-    edges = stage(edges, "candidates")
-    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    n = ids.count()
-    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-    sets = stage(docs.join(ids, "id", "left_semi").mapInArrow(_as_sets(width), "id long, shingles binary"), "sets")
-    left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "sa"), ("b", "sb")))
-    # members first: a member has few edges, a centre may have very many; a skewed centre is split by AQE
-    full = edges.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "sa", "sb")
-    return stage(full.mapInArrow(_links(percent), "a long, b long"), "links")
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the ids named (distinct, staged), staged; only their texts are fetched."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return stage(docs.join(ids, "id", "left_semi").mapInArrow(_as_sets(width), "id long, shingles binary"), "sets")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -232,27 +241,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sound = base.where("id is not null and n > 0")
     firsts = sound.groupBy("set").agg(F.min("id").alias("rep"))
     nodes = stage(sound.join(firsts.select("set", F.col("rep").alias("id")), ["set", "id"]).dropDuplicates(["id", "set"]).select("id", "sketch", "bands"), "nodes")
-    members = nodes.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "id")
+    members = nodes.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "id")
     shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1")
     members = stage(members.join(shared, "bucket"), "buckets")
     sketches = nodes.select("id", "sketch")
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        left, right = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-        near = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "sketch_a", "sketch_b")
-        return _verify(near.mapInArrow(_likely(least), "a long, b long").distinct(), texts, width, percent)
-
     copies = sound.select("id", "set").join(firsts, "set").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = judged(members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    # first round: stars
+    stars = members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    left, right = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    # members first: a member has few edges, a centre may have very many; a skewed centre is split by AQE
+    near = stars.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "sketch_a", "sketch_b")
+    edges = stage(near.mapInArrow(_likely(least), "a long, b long"), "candidates")
+    sets = _sets_of(stage(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "named"), texts, width)
+    left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "sa"), ("b", "sb")))
+    full = edges.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "sa", "sb")
+    links = stage(full.mapInArrow(_links(percent), "a long, b long"), "links")
     comps = components(links)
     # second round: buckets whose members are still in several components
-    labelled = members.join(comps, "id", "left").select("bucket", "id", "size", F.coalesce("comp", "id").alias("comp"))
-    open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high and low is not null").select("bucket")
+    labelled = stage(members.join(comps, "id", "left").select("bucket", "band", "id", "size", F.coalesce("comp", "id").alias("comp")), "labelled")
+    open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    met = stage(labelled.join(open_, "bucket", "left_semi"), "open")
+    sets = _sets_of(stage(met.select("id").distinct(), "named"), texts, width)
     parts = F.ceil(F.col("size") / F.lit(BLOCK))
-    dealt = stage(labelled, "labelled").join(open_, "bucket", "left_semi").join(sketches, "id").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), parts))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("bucket", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "id", "comp", "sketch")
-    met = dealt.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "id").mapInArrow(_block_pairs(least), "a long, b long").distinct()
-    more = _verify(met, texts, width, percent)
+    dealt = met.join(nodes, "id").join(sets, "id").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("bucket", "band", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "id", "comp", "sketch", "bands", "shingles")
+    more = stage(dealt.repartition(partitions(docs.sparkSession), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "id").mapInArrow(_block_links(least, percent), "a long, b long").distinct(), "links")
     final = components(links.union(more).union(copies))
     out = base.select("id", "n").join(final, "id", "left")
     comp = F.coalesce("comp", "id")
