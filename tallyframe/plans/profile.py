@@ -45,6 +45,11 @@ class Profile:
     def duplicates(self, key_columns: list[str], **options) -> DataFrame:
         return keys.duplicate_summary(self.table, key_columns, **options)
 
+    def compound_keys(self, max_size: int = 3) -> DataFrame:
+        """Candidate keys with pairs and triples of columns counted too."""
+        counts = distinct_counts(self.freq)
+        return keys.suggest_keys(counts, keys.compound_stats(self.table, counts, max_size))
+
     def register(self, prefix: str = "profile") -> None:
         """Temp views of the results."""
         for name in ("columns", "candidate_keys", "errors", "totals"):

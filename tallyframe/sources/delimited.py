@@ -11,7 +11,7 @@ import csv
 import io
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytes import files, to_lf
@@ -68,7 +68,7 @@ def parse_quoted(text: str, delimiter: str, width: int):
 
 
 def parsed_rows(spark: SparkSession, path: str, delimiter: str, quoted: bool, width: int) -> DataFrame:
-    """Every data row with its 1-based number (unquoted: in reading order), fields and error code."""
+    """Every data row with its 1-based number, fields and error code."""
     if quoted:
         def run(batches):
             for frame in batches:
@@ -78,9 +78,7 @@ def parsed_rows(spark: SparkSession, path: str, delimiter: str, quoted: bool, wi
                     yield pd.DataFrame(rows, columns=["_row_id", "fields", "error_code", "message"])
 
         return files(spark, path).select("content").mapInPandas(run, ROWS)
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    first = lines.agg(F.min("line")).first()[0]
-    rows = lines.where(F.col("line") != (first if first is not None else -1))
+    rows = numbered(spark.read.text(path)).where("line > 0")  # line 0 is the header
     fields = F.split("value", f"\\Q{delimiter}\\E", -1)
     extra = F.slice(fields, F.lit(width + 1), F.greatest(F.lit(0), F.size(fields) - width))
     fitted = F.when((F.size(fields) > width) & ~F.exists(extra, lambda x: x != ""), F.slice(fields, 1, width)).otherwise(fields)
@@ -89,6 +87,17 @@ def parsed_rows(spark: SparkSession, path: str, delimiter: str, quoted: bool, wi
     return rows.withColumn("fields", fitted).withColumn("error_code", code).select(F.col("line").alias("_row_id"), "fields", "error_code", message.alias("message"))
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines with their number from 0 in reading order: partitions are counted first (a row each), and
+    what stands before a partition is added to the place within it."""
+    part = F.shiftright(F.col("id"), 33)
+    rows = lines.withColumn("id", F.monotonically_increasing_id())
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    within = F.col("id") - F.shiftleft(part, 33)
+    return rows.withColumn("part", part).join(F.broadcast(before), "part").select("value", (F.col("before") + within).alias("line"))
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, quoted: bool | None = None, has_header: bool = True) -> tuple[DataFrame, DataFrame, dict]:
     """(table, errors, dialect). The table has a string column for each name and _row_id; rows with an
     error code are in ``errors`` (code, message, line) instead; blank lines in neither."""

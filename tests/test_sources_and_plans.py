@@ -39,7 +39,9 @@ def test_strict_rows(spark, tmp_path):
 
 def test_unquoted_rows_agree(spark, tmp_path):
     path = put(tmp_path, "u.txt", "id,name\n1,a\n2\n3,b,\n4,b,c\n\n5,\"q\n")
-    rows = [(r.fields, r.error_code) for r in delimited.parsed_rows(spark, path, ",", False, 2).orderBy("_row_id").collect()]
+    found = delimited.parsed_rows(spark, path, ",", False, 2).orderBy("_row_id").collect()
+    assert [r._row_id for r in found] == [1, 2, 3, 4, 5, 6]
+    rows = [(r.fields, r.error_code) for r in found]
     assert rows == [(["1", "a"], None), (["2"], "E_JAGGED_ROW"), (["3", "b"], None), (["4", "b", "c"], "E_JAGGED_ROW"), ([""], "BLANK"), (["5", '"q'], None)]
 
 
@@ -64,6 +66,7 @@ def test_profile_file_and_artifacts(spark, tmp_path):
     assert seen[0] == 0 and seen[-1] == 100
     assert p.candidate_keys.first()["columns"] == ["id"]
     assert p.duplicates(["name"]).first().duplicate_count == 3
+    assert p.compound_keys().count() >= 1
     emit.write_artifacts(p, str(tmp_path / "out"))
     made = json.loads((tmp_path / "out/profile.json").read_text())
     assert made["total_rows"] == 20 and len(made["columns"]) == 4
