@@ -37,19 +37,25 @@ def normality(n: Column, skew: Column, excess: Column) -> Column:
     return F.exp(-(z1 * z1 + z2 * z2) / 2)
 
 
-def numeric_profile(long: DataFrame) -> DataFrame:
+def numeric_profile(long: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     """One row a column: counts, min, max, mean, stddev, median, quantiles, gaussian_pvalue.
 
-    Moments merge partial sums of squared deviations; quantiles interpolate on (n - 1) p.
+    Moments merge partial sums of squared deviations; quantiles interpolate on (n - 1) p. With the
+    frequencies given, quantiles come from exact_quantiles and no column meets in one task.
     """
     cells = typed(long)
     p = F.percentile("x", F.array(*map(F.lit, QUANTILES.values())))
+    names = F.array(*map(F.lit, QUANTILES))
     out = cells.groupBy("col", "ordinal").agg(
         F.count("*").alias("count"), F.count_if("blank").alias("null_count"), F.count("x").alias("valid_count"), F.count_if(~F.col("blank") & F.col("x").isNull()).alias("invalid_count"),
-        F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("excess"), p.alias("p"),
+        F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("excess"), *([] if freq is not None else [p.alias("p")]),
     )
-    names = F.array(*map(F.lit, QUANTILES))
-    return out.select("col", "ordinal", "count", "null_count", "valid_count", "invalid_count", "min", "max", "mean", "stddev", F.col("p")[3].alias("median"), F.when(F.col("valid_count") > 0, F.map_from_arrays(names, "p")).alias("quantiles"), normality(F.col("valid_count"), F.col("skew"), F.col("excess")).alias("gaussian_pvalue"))
+    if freq is None:
+        out = out.withColumn("quantiles", F.when(F.col("valid_count") > 0, F.map_from_arrays(names, "p")))
+    else:
+        found = exact_quantiles(freq).groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("name", "quantile"))).alias("quantiles"))
+        out = out.join(F.broadcast(found), "col", "left")  # a row a column
+    return out.select("col", "ordinal", "count", "null_count", "valid_count", "invalid_count", "min", "max", "mean", "stddev", F.col("quantiles")["p50"].alias("median"), "quantiles", normality(F.col("valid_count"), F.col("skew"), F.col("excess")).alias("gaussian_pvalue"))
 
 
 def exact_quantiles(freq: DataFrame, wanted: dict[str, float] | None = None, ranges: int = 64) -> DataFrame:

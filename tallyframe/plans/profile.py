@@ -76,7 +76,7 @@ def column_profiles(long: DataFrame, freq: DataFrame, config: ProfileConfig = Pr
         return df.where(F.col("col").isin(names)) if names else spark.createDataFrame([], df.schema)
 
     text_kinds = ("alpha", "varchar", "code", "mixed", "unknown")
-    n = numeric.numeric_profile(of_type(long, ["numeric"])).select("col", F.col("valid_count").alias("n_valid"), F.col("invalid_count").alias("n_invalid"), "min", "max", "mean", "median", "stddev", "quantiles", "gaussian_pvalue")
+    n = numeric.numeric_profile(of_type(long, ["numeric"]), of_type(freq, ["numeric"])).select("col", F.col("valid_count").alias("n_valid"), F.col("invalid_count").alias("n_invalid"), "min", "max", "mean", "median", "stddev", "quantiles", "gaussian_pvalue")
     bins = numeric.histogram(of_type(freq, ["numeric"])).groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("bin", "cnt"))).alias("histogram"))
     s = strings.string_profile(of_type(freq, text_kinds)).select("col", "min_length", "max_length", "avg_length", "has_non_ascii", "character_types")
     c = strings.code_profile(of_type(freq, ["code"])).select("col", F.col("cardinality_ratio").alias("code_ratio"))

@@ -263,6 +263,12 @@ def q_profile(spark, sf_dir):
     return emit.metrics(profile_table(mess(spark, sf_dir)).columns)
 
 
+def q_lineitem(spark, sf_dir):
+    """The whole profile of the largest table: every column, every statistic."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("_row_id", F.monotonically_increasing_id())
+    return emit.metrics(profile_table(df).columns)
+
+
 def q_merged(spark, sf_dir):
     """Frequencies of three batches, merged."""
     rows = words(spark, sf_dir)
@@ -273,7 +279,7 @@ QUERIES = {
     "numeric_profile": q_numeric, "frequencies": q_frequencies, "distinct_counts": q_distinct, "distinct_options": q_distinct_options, "top_values": q_top_values, "exact_quantiles": q_quantiles, "histogram": q_histogram,
     "string_profile": q_strings, "code_profile": q_codes, "money_profile": q_money, "money_examples": q_money_examples, "money_verdicts": q_money_verdicts, "date_formats": q_date_formats, "date_profile": q_dates, "date_distribution": q_date_distribution,
     "type_inference": q_infer, "format_errors": q_format_errors, "value_classes": q_value_classes, "candidate_keys": q_keys, "strict_keys": q_strict_keys, "compound_keys": q_compound, "duplicate_groups": q_duplicate_groups, "duplicate_summary": q_duplicate_summary, "top_duplicates": q_top_duplicates,
-    "line_endings": q_line_endings, "utf8_check": q_utf8, "formula_guard": q_guard, "scalar_kernels": q_scalars, "finite_numbers": q_finite, "file_totals": q_totals, "profile_metrics": q_profile, "merged_frequencies": q_merged,
+    "line_endings": q_line_endings, "utf8_check": q_utf8, "formula_guard": q_guard, "scalar_kernels": q_scalars, "finite_numbers": q_finite, "file_totals": q_totals, "profile_metrics": q_profile, "lineitem_profile": q_lineitem, "merged_frequencies": q_merged,
 }
 
 FIRST = f"first AS (SELECT * FROM (SELECT col, ordinal, row_id, v, row_number() OVER (PARTITION BY col ORDER BY row_id) AS r FROM (SELECT *, {STRIP} AS v FROM long) WHERE v <> '') WHERE r <= 100)"
