@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUES, buffers, each_text, powers, steps
+from .common import BASE, BYTE_VALUES, buffers, each_text, powers, released, steps
 
 #: Distinct pieces in each of the two generations that a worker remembers, and pairs of tokens.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 60_000
 CACHE_PAIRS = 500_000
 #: For texts in these alphabets the common pattern is also one of the faster stdlib engine.
 LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af"
@@ -369,28 +369,31 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     new = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"token_ids": pa.list_(pa.int32())} if ids else {})
     keep = [c for c in docs.columns if c not in new]
 
+    def encoded(tok, part):
+        """A few texts at a time, so that neither pieces nor ids of a whole batch are held."""
+        name = tok.names.__getitem__
+        out: dict[str, list] = {c: [] for c in new}
+        for got in tok.encode_all([x.decode("utf-8", "replace") for x in each_text(part.column(text_col))]):
+            out["n_tokens"].append(len(got))
+            out["ids_sha256"].append(hashlib.sha256(",".join(map(name, got)).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(tok.decode(got)).hexdigest())
+            if ids:
+                out["token_ids"].append(pa.array(got, pa.int32()))
+        if ids:
+            flat = out.pop("token_ids")
+            lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, flat))], pa.int32()), pa.concat_arrays(flat))
+        arrays = [part.column(c) for c in keep] + [pa.array(out[c], new[c]) for c in out] + ([lists] if ids else [])
+        return pa.RecordBatch.from_arrays(arrays, [*keep, *new])
+
     def run(batches):
         tok = tokenizer(key, table, pattern)
-        name = tok.names.__getitem__
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in new}
-            texts = batch.column(text_col)
-            for i, j in steps(buffers(texts)[0], 4 << 20):
-                for got in tok.encode_all([x.decode("utf-8", "replace") for x in each_text(texts.slice(i, j - i))]):
-                    out["n_tokens"].append(len(got))
-                    out["ids_sha256"].append(hashlib.sha256(",".join(map(name, got)).encode()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(tok.decode(got)).hexdigest())
-                    if ids:
-                        out["token_ids"].append(pa.array(got, pa.int32()))
-            if ids:
-                flat = out.pop("token_ids")
-                at = pa.array([0, *accumulate(map(len, flat))], pa.int32())
-                lists = pa.ListArray.from_arrays(at, pa.concat_arrays(flat) if flat else pa.array([], pa.int32()))
-            arrays = [batch.column(c) for c in keep] + [pa.array(out[c], new[c]) for c in out] + ([lists] if ids else [])
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, *new])
+            for i, j in steps(buffers(batch.column(text_col))[0], 2 << 20):
+                yield encoded(tok, batch.slice(i, j - i))
+        _ready.clear()
 
     schema = ", ".join([f"`{c}` {dict(docs.dtypes)[c]}" for c in keep] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["token_ids array<int>"] * ids)
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(released(run), schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

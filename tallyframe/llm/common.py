@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -44,6 +47,25 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts travel in batches of so many rows, from here on, so that neither side holds much."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def released(run):
+    """``run`` over batches; when a task ends, memory that its worker no longer needs goes back."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -67,12 +89,12 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets.astype(np.int64), np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
-    """Ranges (i, j) of rows with at most ``limit`` bytes, or one row."""
+def steps(offsets: np.ndarray, limit: int = STEP_BYTES, rows: int = 1 << 14):
+    """Ranges (i, j) of at most so many rows with at most ``limit`` bytes, or one row."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, i + rows)
         yield i, j
         i = j
 

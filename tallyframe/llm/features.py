@@ -29,7 +29,7 @@ def histograms(array, kind: str, dims: int):
     offsets, data = buffers(array)
     table = _shape if kind == "shape" else _letters
     room = dims - LENGTHS if kind == "shape" else dims
-    for i, j in steps(offsets):
+    for i, j in steps(offsets, rows=512):
         at = offsets[i:j + 1] - offsets[i]
         codes = table[data[offsets[i]:offsets[j]]]
         rows = np.repeat(np.arange(j - i, dtype=np.int64), np.diff(at))

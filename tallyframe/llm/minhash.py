@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUES, LOWER, UNBASE, buffers, mix, partitions, powers, stage, steps
+from .common import BASE, BYTE_VALUES, LOWER, UNBASE, buffers, mix, partitions, powers, released, stage, steps
 from .components import components
 
 _lower = np.frombuffer(LOWER, np.uint8)
@@ -124,7 +124,7 @@ def _signed(width: int, bands: int, rows: int):
             for _, s in shingle_sets(batch.column("text"), width):
                 held.append(s)
                 total += len(s)
-                if total > 150_000:
+                if total > 100_000:
                     flush()
                     total = 0
             flush()
@@ -223,7 +223,7 @@ def _links(percent: int):
 def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(id, shingles) of the ids named (distinct, staged), staged; only their texts are fetched."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return stage(docs.join(ids, "id", "left_semi").mapInArrow(_as_sets(width), "id long, shingles binary"), "sets")
+    return stage(docs.join(ids, "id", "left_semi").mapInArrow(released(_as_sets(width)), "id long, shingles binary"), "sets")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     m = bands * rows
     least = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / m))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = stage(texts.mapInArrow(_signed(width, bands, rows), "id long, n long, set binary, sketch binary, bands array<long>"), "signatures")
+    base = stage(texts.mapInArrow(released(_signed(width, bands, rows)), "id long, n long, set binary, sketch binary, bands array<long>"), "signatures")
     sound = base.where("id is not null and n > 0")
     firsts = sound.groupBy("set").agg(F.min("id").alias("rep"))
     nodes = stage(sound.join(firsts.select("set", F.col("rep").alias("id")), ["set", "id"]).dropDuplicates(["id", "set"]).select("id", "sketch", "bands"), "nodes")
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = _sets_of(stage(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "named"), texts, width)
     left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "sa"), ("b", "sb")))
     full = edges.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "sa", "sb")
-    links = stage(full.mapInArrow(_links(percent), "a long, b long"), "links")
+    links = stage(full.mapInArrow(released(_links(percent)), "a long, b long"), "links")
     comps = components(links)
     # second round: buckets whose members are still in several components
     labelled = stage(members.join(comps, "id", "left").select("bucket", "band", "id", "size", F.coalesce("comp", "id").alias("comp")), "labelled")
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = F.ceil(F.col("size") / F.lit(BLOCK))
     dealt = met.join(nodes, "id").join(sets, "id").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), parts))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("bucket", "band", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "id", "comp", "sketch", "bands", "shingles")
-    more = stage(dealt.repartition(partitions(docs.sparkSession), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "id").mapInArrow(_block_links(least, percent), "a long, b long").distinct(), "links")
+    more = stage(dealt.repartition(partitions(docs.sparkSession), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "id").mapInArrow(released(_block_links(least, percent)), "a long, b long").distinct(), "links")
     final = components(links.union(more).union(copies))
     out = base.select("id", "n").join(final, "id", "left")
     comp = F.coalesce("comp", "id")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import id_bucket, released
 from .features import histograms, idf_of, latent_basis, unit, weigh
 
 DIMS = 4096
@@ -57,7 +57,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.binary())], ["id", "label", "counts"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = {r.id: (r.label, r.counts) for r in texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, label int, counts binary").toLocalIterator()}
+    rows = {r.id: (r.label, r.counts) for r in texts.mapInArrow(released(run), f"id {dict(texts.dtypes)['id']}, label int, counts binary").toLocalIterator()}
     rows = [rows[k] for k in sorted(rows)]
     if not rows:
         return NeighbourModel(np.ones(dims, np.float32), np.zeros((dims, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, sharpness)
@@ -85,7 +85,7 @@ def score(docs: DataFrame, model: NeighbourModel, text_col: str = "text", score_
                 out[i:j] = shared.value.scores(counts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out)], [*keep, score_col])
 
-    return docs.select(*keep).mapInArrow(run, ", ".join([f"`{c}` {dict(docs.dtypes)[c]}" for c in keep] + [f"`{score_col}` double"]))
+    return docs.select(*keep).mapInArrow(released(run), ", ".join([f"`{c}` {dict(docs.dtypes)[c]}" for c in keep] + [f"`{score_col}` double"]))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
