@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, each_text, stage
+from .common import LOWER, each_text, released, stage
 from .fmindex import FMIndex
 
 #: Word bytes: digits, small letters and whatever is not ASCII; all others become blanks.
@@ -110,8 +110,11 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _search(docs: DataFrame, windows: Windows, id_type: str) -> DataFrame:
-    """``docs`` with n_words, spans and items; what an earlier block found there is merged in."""
+def _search(docs: DataFrame, windows: Windows, id_type: str, after=None) -> DataFrame:
+    """``docs`` with n_words, spans and items; what an earlier block found there is merged in.
+
+    after: a function of each finished batch, to columns of ``docs`` alone, run in the same worker.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(windows)
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     keep = [c for c in docs.columns if c not in NEW]
@@ -123,7 +126,8 @@ def _search(docs: DataFrame, windows: Windows, id_type: str) -> DataFrame:
             spans = [merge_spans([*a, *((x["start"], x["stop"]) for x in b)]) for a, b in zip(spans, batch.column("spans").to_pylist())]
             items = [a.union(b) for a, b in zip(items, batch.column("items").to_pylist())]
         new = [pa.array(shard.sizes, pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], HITS), pa.array([sorted(x, key=str) for x in items], pa.list_(kind))]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, *NEW])
+        done = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, *NEW])
+        return after(done) if after else done
 
     def run(batches):
         block = shared.value
@@ -139,8 +143,9 @@ def _search(docs: DataFrame, windows: Windows, id_type: str) -> DataFrame:
             if done < batch.num_rows:
                 yield finish(shard, block, batch.slice(done))
 
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c in keep] + ["n_words long, spans array<struct<start: long, stop: long>>", f"items array<{id_type}>"])
-    return docs.mapInArrow(run, schema)
+    extra = [] if after else ["n_words long, spans array<struct<start: long, stop: long>>", f"items array<{id_type}>"]
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c in keep] + extra)
+    return docs.mapInArrow(released(run), schema)
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, width: int, block_bytes: int):
@@ -157,7 +162,7 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, width: int, bl
         yield Windows([(r.item, r.text.encode()) for r in part.toLocalIterator()], width)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", bench_text_col: str = "text", width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", bench_text_col: str = "text", width: int = 10, block_bytes: int = 8 << 20, after=None) -> DataFrame:
     """``docs`` (its texts in ``text``) with n_words, spans (merged, of words) and items (distinct).
 
     A window is ``width`` consecutive words of an item, or the whole of a shorter item; words are
@@ -167,8 +172,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "i
     than ``block_bytes`` is searched for block by block, with a staged table between.
     """
     found = docs.select(*(c for c in docs.columns if c not in NEW))
-    for k, block in enumerate(blocks_of(benchmark, item_col, bench_text_col, width, block_bytes)):
-        found = _search(stage(found, "decontaminate") if k else found, block, dict(benchmark.dtypes)[item_col])
+    blocks = blocks_of(benchmark, item_col, bench_text_col, width, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        later = next(blocks, None)
+        found = _search(found, block, dict(benchmark.dtypes)[item_col], None if later is not None else after)
+        found, block = stage(found, "decontaminate") if later is not None else found, later
     return found
 
 
@@ -187,25 +196,23 @@ def strip_contamination(docs: DataFrame, benchmark: DataFrame, chars_col: str =
 
     Texts without a hit are left as they are, nulls too; a text that had a hit and keeps no word goes.
     """
-    found = find_contamination(docs, benchmark, **settings)
     columns = [c for c in docs.columns if c not in NEW]
 
-    def run(batches):
-        for batch in batches:
-            spans = batch.column("spans").to_pylist()
-            texts, stay = batch.column("text").to_pylist(), []
-            for k, own in enumerate(spans):
-                if own:
-                    texts[k] = strip_spans(texts[k].encode(), [(x["start"], x["stop"]) for x in own]).decode()
-                stay.append(not own or bool(words_of(texts[k].encode())))
-            out = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            if chars_col in columns:
-                counts = [n if not own else len(x) for n, own, x in zip(batch.column(chars_col).to_pylist(), spans, texts)]
-                at = batch.schema.get_field_index(chars_col)
-                out = out.set_column(at, chars_col, pa.array(counts, batch.schema.field(at).type))
-            yield out.select(columns).filter(pa.array(stay, pa.bool_()))
-
-    return found.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in columns))
+    def cut(batch):
+        spans = batch.column("spans").to_pylist()
+        texts, stay = batch.column("text").to_pylist(), []
+        for k, own in enumerate(spans):
+            if own:
+                texts[k] = strip_spans(texts[k].encode(), [(x["start"], x["stop"]) for x in own]).decode()
+            stay.append(not own or bool(words_of(texts[k].encode())))
+        out = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        if chars_col in columns:
+            counts = [n if not own else len(x) for n, own, x in zip(batch.column(chars_col).to_pylist(), spans, texts)]
+            at = batch.schema.get_field_index(chars_col)
+            out = out.set_column(at, chars_col, pa.array(counts, batch.schema.field(at).type))
+        return out.select(columns).filter(pa.array(stay, pa.bool_()))
+
+    return find_contamination(docs, benchmark, after=cut, **settings)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
