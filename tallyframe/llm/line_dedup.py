@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, UNBASE, each_text, mix, partitions, powers, stage
+from .common import BASE, UNBASE, buffers, each_text, mix, partitions, powers, stage, steps
 
 SEGMENTS = 4
 #: Shorter lines are compared exactly only.
@@ -22,66 +21,90 @@ LEAST_CHARS = 20
 FRAME = np.dtype([("frame", "u8"), ("h1", "i8"), ("h2", "i8")])
 
 
-def _hashes(line: bytes) -> tuple[int, int]:
-    return xxhash.xxh64_intdigest(line, 1) - (1 << 63), xxhash.xxh64_intdigest(line, 2) - (1 << 63)
+def _mixed(chars: np.ndarray, salt: int) -> np.ndarray:
+    return mix(chars.astype(np.uint64) + np.uint64(salt))
+
+
+def _running(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(BASE, len(values))[:-1], out=out[1:])
+    return out
+
+
+_blank = np.array([32, 9, 11, 12, 13], np.uint32)
+
+
+def char_lines(array):
+    """For runs of rows: (sums, start, stop, row, number, h1, h2) of the lines that are not blank.
+
+    sums: running hash of the characters, from which a part of any line is hashed; h1 and h2 name the
+    whole line.
+    """
+    offsets, data = buffers(array)
+    view = memoryview(data)
+    for i, j in steps(offsets):
+        texts = [bytes(view[offsets[k]:offsets[k + 1]]).decode("utf-8", "replace") for k in range(i, j)]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        chars = np.frombuffer("".join([x + "\n" for x in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        stop = np.flatnonzero(chars == 10)
+        start = np.concatenate([[0], stop[:-1] + 1])
+        ends = np.cumsum(sizes)
+        row = np.searchsorted(ends, start, "right")
+        opens = np.flatnonzero(np.diff(row, prepend=-1))
+        number = np.arange(len(start)) - np.repeat(opens, np.diff(np.append(opens, len(start))))
+        seen = np.concatenate([[0], np.cumsum(~np.isin(chars, _blank))])
+        full = seen[stop] > seen[start]
+        start, stop, row, number = start[full], stop[full], row[full], number[full]
+        sums, back = _running(_mixed(chars, 1)), powers(UNBASE, len(chars))
+        again = _running(_mixed(chars, 1 << 40))
+        size = (stop - start).astype(np.uint64)
+        h1, h2 = (mix((x[stop] - x[start]) * back[start] + size).view(np.int64) for x in (sums, again))
+        yield sums, start, stop, row + i, number, h1, h2
 
 
 def _split(batches):
     """A row for each line."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(5)]
-        for row, id_, tag, text in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), batch.column("tag").to_pylist(), each_text(batch.column("text"))):
-            for k, line in enumerate(text.split(b"\n")):
-                if line.strip():
-                    h1, h2 = _hashes(line)
-                    for column, value in zip(out, (row, id_, k, h1, h2)):
-                        column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["row", "id", "line", "h1", "h2"])
+        rows, ids = batch.column("row").to_numpy(), batch.column("id").to_numpy()
+        for _, _, _, row, number, h1, h2 in char_lines(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[row], ids[row], number, h1, h2)], ["row", "id", "line", "h1", "h2"])
 
 
 def _characters(line: bytes) -> np.ndarray:
-    return np.frombuffer(line.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
-
-
-def _sums(chars: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(chars) + 1, np.uint64)
-    np.cumsum(mix(chars + np.uint64(1)) * powers(BASE, len(chars))[:-1], out=out[1:])
-    return out
+    return np.frombuffer(line.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
 
 
-def _frames(sums: np.ndarray, n: int):
-    """For this length and for one less: the line without each of its parts, hashed."""
-    power, back = powers(BASE, n + 1), powers(UNBASE, n + 1)
-    for size in (n, n - 1):
-        cut = np.arange(SEGMENTS + 1) * size // SEGMENTS
-        head, tail = cut[:-1], size - cut[1:]
-        rest = (sums[n] - sums[n - tail]) * back[n - tail]
-        yield mix(sums[head] + rest * power[head] + mix((np.uint64(size) << np.uint64(8)) + np.arange(SEGMENTS, dtype=np.uint64)))
+def _frames(sums: np.ndarray, start: np.ndarray, stop: np.ndarray):
+    """For each line's length and for one less: the line without each of its parts, hashed."""
+    power, back = powers(BASE, len(sums)), powers(UNBASE, len(sums))
+    for size in (stop - start, stop - start - 1):
+        for part in range(SEGMENTS):
+            head, tail = part * size // SEGMENTS, size - (part + 1) * size // SEGMENTS
+            front = (sums[start + head] - sums[start]) * back[start]
+            rest = (sums[stop] - sums[stop - tail]) * back[stop - tail]
+            yield mix(front + rest * power[head] + mix((size.astype(np.uint64) << np.uint64(8)) + np.uint64(part)))
 
 
 def _framed(buckets: int):
     def run(batches):
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            frames, h1, h2 = [], [], []
-            for text in each_text(batch.column("text")):
-                for line in text.split(b"\n"):
-                    if line.strip() and len(line) >= LEAST_CHARS and (key := _hashes(line)) not in seen:
-                        seen.add(key)
-                        chars = _characters(line)
-                        if len(chars) >= LEAST_CHARS:
-                            found = np.concatenate(list(_frames(_sums(chars), len(chars))))
-                            frames.append(found)
-                            h1.append(np.full(len(found), key[0]))
-                            h2.append(np.full(len(found), key[1]))
-            if frames:
-                rows = np.empty(sum(map(len, frames)), FRAME)
-                rows["frame"], rows["h1"], rows["h2"] = np.concatenate(frames), np.concatenate(h1), np.concatenate(h2)
+            made = []
+            for sums, start, stop, _, _, h1, h2 in char_lines(batch.column("text")):
+                long = np.flatnonzero(stop - start >= LEAST_CHARS)
+                _, once = np.unique(h1[long], return_index=True)  # equal names go once
+                at = long[once]
+                for frame in _frames(sums, start[at], stop[at]):
+                    rows = np.empty(len(at), FRAME)
+                    rows["frame"], rows["h1"], rows["h2"] = frame, h1[at], h2[at]
+                    made.append(rows)
+            if made:
+                rows = np.unique(np.concatenate(made))
                 where = (rows["frame"] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 rows, where = rows[order], where[order]
                 first = np.flatnonzero(np.diff(where, prepend=-1))
-                yield pa.RecordBatch.from_arrays([pa.array(where[first], pa.int32()), pa.array([x.tobytes() for x in np.split(rows, first[1:])], pa.binary())], ["bucket", "rows"])
+                if len(first):
+                    yield pa.RecordBatch.from_arrays([pa.array(where[first], pa.int32()), pa.array([x.tobytes() for x in np.split(rows, first[1:])], pa.binary())], ["bucket", "rows"])
 
     return run
 
@@ -115,12 +138,15 @@ def _partnered(batches):
 def _fetch(batches):
     """The named lines of each document, with their texts."""
     for batch in batches:
+        named = {}
+        for _, _, _, row, number, h1, h2 in char_lines(batch.column("text")):
+            named.update(zip(zip(row.tolist(), number.tolist()), zip(h1.tolist(), h2.tolist())))
         out: list[list] = [[], [], [], [], []]
-        for id_, wanted, text in zip(batch.column("id").to_pylist(), batch.column("lines").to_pylist(), each_text(batch.column("text"))):
-            lines = text.split(b"\n")
+        for k, (id_, wanted, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("lines").to_pylist(), each_text(batch.column("text")))):
+            lines = text.decode("utf-8", "replace").split("\n")
             for x in wanted:
-                if x["line"] < len(lines) and _hashes(lines[x["line"]]) == (x["h1"], x["h2"]):
-                    for column, value in zip(out, (x["h1"], x["h2"], id_, x["line"], lines[x["line"]].decode("utf-8", "replace"))):
+                if named.get((k, x["line"])) == (x["h1"], x["h2"]):
+                    for column, value in zip(out, (x["h1"], x["h2"], id_, x["line"], lines[x["line"]])):
                         column.append(value)
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.string())], ["h1", "h2", "id", "line", "body"])
 
@@ -130,7 +156,7 @@ def _variants(batches):
     for batch in batches:
         for k in range(batch.num_rows):
             chars = _characters(batch.column("body")[k].as_py().encode())
-            n, sums = len(chars), _sums(chars)
+            n, sums = len(chars), _running(_mixed(chars, 1))
             at = np.arange(n)
             deleted = sums[:n] + (sums[n] - sums[at + 1]) * np.uint64(UNBASE)
             keys = mix(np.concatenate([sums[n:] , deleted]) + mix(np.concatenate([[n], np.full(n, n - 1)]).astype(np.uint64)))
