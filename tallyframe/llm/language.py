@@ -40,8 +40,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     language; the number of languages is that of the language column.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and text != ''")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = rows.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= max_texts).select("id", "lang").distinct()
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy(F.xxhash64("id"), "id"))
+    # first in shares of a language, so that no task gets a whole one
+    ids = rows.select("id", "lang").distinct().withColumn("share", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(64)))
+    ids = ids.withColumn("rank", rank("share")).where(F.col("rank") <= max_texts).withColumn("rank", rank()).where(F.col("rank") <= max_texts).select("id", "lang")
     picked = rows.join(F.broadcast(ids), ["id", "lang"])  # max_texts ids for each language
 
     def run(batches):
