@@ -129,7 +129,7 @@ def q_histogram(spark, sf_dir):
 
 
 def q_strings(spark, sf_dir):
-    docs = longform.to_long(table(spark, sf_dir, "documents", "doc_id", "lang", F.substring("text", 1, 40).alias("opening")))
+    docs = longform.to_long(table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
     out = strings.string_profile(longform.frequencies(words(spark, sf_dir).union(docs)))
     return out.withColumn("avg_length", F.round("avg_length", 6)).withColumn("character_types", F.array_join("character_types", ",")).drop("ordinal")
 
