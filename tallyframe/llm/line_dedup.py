@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from .common import BASE, UNBASE, buffers, each_text, mix, partitions, powers, stage, steps
 
 SEGMENTS = 4
-#: Shorter lines are compared exactly only.
-LEAST_CHARS = 20
 FRAME = np.dtype([("frame", "u8"), ("h1", "i8"), ("h2", "i8")])
 
 
@@ -90,9 +88,7 @@ def _framed(buckets: int):
         for batch in batches:
             made = []
             for sums, start, stop, _, _, h1, h2 in char_lines(batch.column("text")):
-                long = np.flatnonzero(stop - start >= LEAST_CHARS)
-                _, once = np.unique(h1[long], return_index=True)  # equal names go once
-                at = long[once]
+                _, at = np.unique(h1, return_index=True)  # equal names go once
                 for frame in _frames(sums, start[at], stop[at]):
                     rows = np.empty(len(at), FRAME)
                     rows["frame"], rows["h1"], rows["h2"] = frame, h1[at], h2[at]
@@ -185,9 +181,9 @@ def _true_pairs(batches):
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_lines, n_exact, n_near, dropped (line numbers from 0).
 
-    Lines end at line feeds. A line goes if an equal line stands earlier, or (from LEAST_CHARS
-    characters on) one within one edit, itself dropped or not; earlier means a smaller id, then line
-    number; a null id comes last. Blank lines stay and are not counted. A null text has no lines. Rows
+    Lines end at line feeds. A line of any length goes if an equal line or one within one edit stands
+    earlier, itself dropped or not; earlier means a smaller id, then line number; a null id comes last.
+    Blank lines stay and are not counted. A null text has no lines. Rows
     that repeat an id and a text keep one copy of each line. An empty table gives an empty result.
     """
     n = partitions(docs.sparkSession)

@@ -135,6 +135,31 @@ def test_lines(spark, docs, none):
     assert line_dedup.duplicate_lines(none).count() == 0
 
 
+def test_short_lines_match_brute_force(spark):
+    rng = random.Random(8)
+    pick = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.choice((1, 2, 3, 4, 5, 6, 8, 19, 20)))) if rng.random() < 0.6 or not seen else rng.choice(seen)
+    seen, rows = [], []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            line = pick()
+            if len(line) > 8 and rng.random() < 0.7:
+                at = rng.randrange(len(line))
+                line = line[:at] + rng.choice(("", "x")) + line[at + 1:]
+            seen.append(line)
+            lines.append(line)
+        rows.append((i, "\n".join(lines)))
+    before, want = [], {}
+    for i, text in rows:
+        gone = []
+        for k, line in enumerate(text.split("\n")):
+            if any(line_dedup.within_one_edit(line, x) for x in before):
+                gone.append(k)
+            before.append(line)
+        want[i] = gone
+    assert {r.id: r.dropped for r in line_dedup.duplicate_lines(docs_of(spark, rows)).collect()} == want
+
+
 @pytest.mark.parametrize(("a", "b", "near"), [("abc", "abc", True), ("abc", "axc", True), ("abc", "ab", True), ("abc", "bc", True), ("abc", "acb", False), ("", "a", True), ("ab", "abcd", False)])
 def test_one_edit(a, b, near):
     assert line_dedup.within_one_edit(a, b) is near
