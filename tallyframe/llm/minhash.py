@@ -9,6 +9,7 @@ may reach the threshold is verified on full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,9 @@ from .components import components
 _lower = np.frombuffer(LOWER, np.uint8)
 _space = np.zeros(256, bool)
 _space[[32, *range(9, 14)]] = True
-#: Signature: bands of rows. At a similarity of 0.85 a pair shares no band once in half a million
-#: pairs, at 0.8 (with the wider setting) about as rarely.
-BANDS, ROWS = 28, 6
+#: Signature: bands of rows, so many bands that a pair just at the threshold shares none at most this
+#: often: 28 at a similarity of 0.85, 44 at 0.8.
+ROWS, MISSED = 6, 2e-6
 #: Members of a bucket that meet at a time.
 BLOCK = 1024
 #: Ids up to this many are broadcast to filter texts (8 bytes each); more are joined by a shuffle.
@@ -226,14 +227,25 @@ def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return stage(docs.join(ids, "id", "left_semi").mapInArrow(released(_as_sets(width)), "id long, shingles binary"), "sets")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """The least number of bands by which a pair at the threshold is missed at most MISSED often."""
+    apart = 1 - (percent / 100) ** rows
+    bands = math.ceil(math.log(MISSED) / math.log(apart)) if apart > 0 else 1
+    if bands * rows > 1 << 16:
+        raise ValueError(f"a threshold of {percent} % needs {bands} bands of {rows}; take fewer rows")
+    return bands
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int | None = None, rows: int = ROWS) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, kept.
 
     Links need 100 * intersection >= percent * union of the shingle sets; components are their closure.
     A null or empty text has no shingles and stands alone, as does a row with a null id (its
     component_id is null and it is kept). Rows that repeat an id are one document and linked as any of
-    their texts is. An empty table gives an empty result. Other columns are not read.
+    their texts is. An empty table gives an empty result. Other columns are not read. Without ``bands``,
+    the threshold gives their number.
     """
+    bands = bands or bands_for(percent, rows)
     m = bands * rows
     least = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / m))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -97,6 +97,15 @@ def test_near_duplicates_match_brute_force(spark):
         assert {i: (got[i].n_shingles, got[i].component_id) for i in got} == {i: (len(sets[i]), low[i]) for i in sets}
 
 
+def test_bands_follow_the_threshold(spark):
+    for percent in (50, 80, 85, 95):
+        assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.bands_for(percent) <= minhash.MISSED
+    assert (minhash.bands_for(85), minhash.bands_for(80), minhash.bands_for(100)) == (28, 44, 1)
+    words = [f"s8434w{i}" for i in range(100)]  # a similarity of 0.8 and none of 28 bands in common
+    got = minhash.near_duplicates(docs_of(spark, [(1, " ".join(words[:90])), (2, " ".join(words[10:]))]), width=1, percent=80).collect()
+    assert {r.component_id for r in got} == {1}
+
+
 def test_near_duplicates_edges(spark, docs, none):
     got = minhash.near_duplicates(docs, width=3, percent=85).collect()
     assert len(got) == len(ROWS)
