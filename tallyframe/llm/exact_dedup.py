@@ -40,7 +40,10 @@ def _merge(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        # a plan may promise that a column has no nulls; the row held over makes no such promise
+        table = pa.Table.from_arrays(batch.columns, schema=pa.schema([f.with_nullable(True) for f in batch.schema]))
+        if held is not None:
+            table = pa.concat_tables([held, table])
         table = table.combine_chunks()
         new = np.zeros(table.num_rows, bool)
         new[0] = True

@@ -61,6 +61,36 @@ def test_exact_dedup_hot_group(spark):
     assert got[4].keep_id == 1 and got[4].group_size == 200 and sum(r.kept for r in got.values()) == 101
 
 
+def test_exact_dedup_many_batches_in_a_node(spark):
+    from contextlib import contextmanager
+
+    @contextmanager
+    def batches_of(n):
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(name)
+        spark.conf.set(name, str(n))
+        try:
+            yield
+        finally:
+            spark.conf.set(name, before)
+
+    rows = [(i, "same" if i % 3 == 0 else f"t{i % 170}") for i in range(500)] + [(None, "same"), (9, "same"), (600, None), (601, "")]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", []).append(i)
+    for n in (1, 2, 7):
+        for keep in (min, max):
+            with batches_of(n):
+                got = exact_dedup.exact_dedup(docs_of(spark, rows), keep=keep.__name__, fan=2).collect()
+            want = sorted((-1 if i is None else i, keep(x for x in groups[t or ""] if x is not None), len(groups[t or ""])) for i, t in rows)
+            assert sorted((-1 if r.id is None else r.id, r.keep_id, r.group_size) for r in got) == want
+            assert sum(r.kept for r in got) == len(groups)
+    # more rows in a leaf than one batch of the default size
+    many = spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), (F.col("id") % 150_000).cast("string")).alias("text"))
+    got = exact_dedup.exact_dedup(many, fan=2).agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n"), F.sum("group_size").alias("s")).first()
+    assert (got.kept, got.n, got.s) == (150_000, 200_000, 100_000 + 4 * 50_000)
+
+
 def shingles(text, width):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
     return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
