@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
+#: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -47,6 +49,30 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` begins with."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not null and not in ``gone`` (staged, distinct ``id``).
+
+    Up to BROADCAST_IDS ids are counted and broadcast, so that no text moves; more meet by a shuffle.
+    """
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    key = fresh(docs, "id")
+    return docs.where(F.col(id_col).cast("long").isNotNull()).join(gone.select(F.col("id").alias(key)), F.col(id_col).cast("long") == F.col(key), "left_anti")
+
+
+def least_row(df: DataFrame, keys: list[str], columns: list[str], text_col: str) -> DataFrame:
+    """Of rows with equal keys, the least by text and then by all columns; summed up before the shuffle."""
+    whole = F.struct(*columns)
+    best = F.min_by(whole, F.struct(F.col(text_col).cast("string"), F.to_json(whole)))
+    return df.groupBy(*keys).agg(best.alias("row")).select("row.*")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts travel in batches of so many rows, from here on, so that neither side holds much."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

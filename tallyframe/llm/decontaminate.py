@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, each_text, released, stage
+from .common import LOWER, each_text, fresh, released, stage
 from .fmindex import FMIndex
 
 #: Word bytes: digits, small letters and whatever is not ASCII; all others become blanks.
@@ -97,6 +97,8 @@ class Shard:
 
 
 NEW = ("n_words", "spans", "items")
+#: Item ids of these types stay as they are; others are listed as text.
+ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}
 HITS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
@@ -116,7 +118,7 @@ def _search(docs: DataFrame, windows: Windows, id_type: str, after=None) -> Data
     after: a function of each finished batch, to columns of ``docs`` alone, run in the same worker.
     """
     shared = docs.sparkSession.sparkContext.broadcast(windows)
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    kind = ID_TYPES[id_type]
     keep = [c for c in docs.columns if c not in NEW]
     before = "spans" in docs.columns
 
@@ -172,6 +174,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "i
     than ``block_bytes`` is searched for block by block, with a staged table between.
     """
     found = docs.select(*(c for c in docs.columns if c not in NEW))
+    if dict(benchmark.dtypes)[item_col] not in ID_TYPES:
+        benchmark = benchmark.withColumn(item_col, F.col(item_col).cast("string"))
     blocks = blocks_of(benchmark, item_col, bench_text_col, width, block_bytes)
     block = next(blocks)
     while block is not None:
@@ -195,8 +199,11 @@ def strip_contamination(docs: DataFrame, benchmark: DataFrame, chars_col: str =
     """``docs`` without benchmark passages: spans are cut out, ``chars_col`` (if there) counts anew.
 
     Texts without a hit are left as they are, nulls too; a text that had a hit and keeps no word goes.
+    Extra columns stay, those named like the columns that the search adds too.
     """
-    columns = [c for c in docs.columns if c not in NEW]
+    names = docs.columns
+    docs = docs.withColumnsRenamed({c: f"{fresh(docs, '_own')}_{c}" for c in NEW})
+    columns = docs.columns
 
     def cut(batch):
         spans = batch.column("spans").to_pylist()
@@ -212,7 +219,7 @@ def strip_contamination(docs: DataFrame, benchmark: DataFrame, chars_col: str =
             out = out.set_column(at, chars_col, pa.array(counts, batch.schema.field(at).type))
         return out.select(columns).filter(pa.array(stay, pa.bool_()))
 
-    return find_contamination(docs, benchmark, after=cut, **settings)
+    return find_contamination(docs, benchmark, after=cut, **settings).toDF(*names)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, each_text, partitions, stage
+from .common import LOWER, each_text, fresh, least_row, partitions, stage, without
 
 KEY = ["digest", "proof", "n_bytes"]
 RUN = "digest binary, proof long, n_bytes long, keep_id long, keep_row long, n long, node long"
@@ -103,27 +103,34 @@ def op8(spark, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def _with_digest(text_col: str):
+def _with_digest(text_col: str, name: str):
     def run(batches):
         for batch in batches:
             sha = [hashlib.sha256(x.translate(LOWER)).digest() for x in each_text(batch.column(text_col))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha, pa.binary())], [*batch.schema.names, "__digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha, pa.binary())], [*batch.schema.names, name])
 
     return run
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, whole: one for each text; the rules are those of exact_dedup."""
-    judged = exact_dedup(docs, id_col, text_col, keep)
-    same = judged.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
-    stays = stage(same.select(F.col("id").alias("__id"), F.col("digest").alias("__kept"), (F.col("rows") > 1).alias("__again")), "stays")
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["__digest binary"])
-    found = docs.mapInArrow(_with_digest(text_col), schema).join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")))
-    # rows that repeat both id and text all match; only those need a further look
-    once = found.where(~F.col("__again")).select(*docs.columns)
-    if stays.where("__again").isEmpty():
+    """The rows of ``docs`` that stay, whole: one for each text; the rules are those of exact_dedup.
+
+    A row goes by its id alone, so that texts that stay need not move. Only rows without an id or with
+    a repeated one are told apart by digests; of several that share id and digest, the least by text
+    and then by all columns stays. Extra columns may have any names.
+    """
+    judged = stage(exact_dedup(docs, id_col, text_col, keep).select("id", "digest", "kept"), "judged")
+    ids = judged.groupBy("id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    gone = stage(ids.where("n > 1 or id is null or not kept").select("id", (F.col("id").isNull() | (F.col("n") > 1)).alias("unclear")), "gone")
+    once = without(docs, id_col, gone.where("id is not null").select("id"))
+    if gone.where("unclear").isEmpty():
         return once
-    return once.union(found.where("__again").dropDuplicates(["__id", "__digest"]).select(*docs.columns))
+    name, mark = fresh(docs, "id"), fresh(docs, "digest")
+    stays = judged.join(gone.where("unclear").select("id"), judged["id"].eqNullSafe(gone["id"])).where("kept").select(judged["id"].alias(name), F.col("digest").alias(f"{mark}_")).distinct()
+    some = docs.join(gone.where("unclear").select(F.col("id").alias(name)), F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_semi")
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"`{mark}` binary"])
+    found = some.mapInArrow(_with_digest(text_col, mark), schema).join(stays, F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.col(mark) == F.col(f"{mark}_")))
+    return once.union(least_row(found, [name, mark], docs.columns, text_col))
 
 
 OP8_SQL = """

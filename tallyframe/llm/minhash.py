@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUES, LOWER, UNBASE, buffers, mix, partitions, powers, released, stage, steps
+from .common import BASE, BROADCAST_IDS, BYTE_VALUES, LOWER, UNBASE, buffers, fresh, least_row, mix, partitions, powers, released, stage, steps, without
 from .components import components
 
 _lower = np.frombuffer(LOWER, np.uint8)
@@ -27,8 +27,6 @@ _space[[32, *range(9, 14)]] = True
 ROWS, MISSED = 6, 2e-6
 #: Members of a bucket that meet at a time.
 BLOCK = 1024
-#: Ids up to this many are broadcast to filter texts (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 
 
 def shingle_sets(array, width: int):
@@ -286,14 +284,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that stay, whole: of each component the smallest id; rows with a null id stay."""
-    judged = near_duplicates(docs, id_col, text_col, **settings)
-    stays = stage(judged.where("kept and id is not null").groupBy("id").agg((F.count("*") > 1).alias("__again")).withColumnRenamed("id", "__id"), "stays")
-    found = docs.join(stays, F.col(id_col).cast("long") == F.col("__id"))
-    out = found.where(~F.col("__again")).select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
-    if stays.where("__again").isEmpty():
-        return out
-    return out.union(found.where("__again").dropDuplicates(["__id"]).select(*docs.columns))
+    """The rows of ``docs`` that stay, whole: of each component the smallest id; rows with a null id stay.
+
+    A row goes by its id, so that texts that stay need not move. Of rows that repeat an id, the least
+    by text and then by all columns stays, if the id does.
+    """
+    judged = near_duplicates(docs, id_col, text_col, **settings).where("id is not null")
+    ids = judged.groupBy("id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 or not kept")
+    gone = stage(ids.select("id", (F.col("kept") & (F.col("n") > 1)).alias("again")), "gone")
+    once = docs.where(F.col(id_col).cast("long").isNull()).union(without(docs, id_col, gone.select("id")))
+    if gone.where("again").isEmpty():
+        return once
+    name = fresh(docs, "id")
+    found = docs.join(gone.where("again").select(F.col("id").alias(name)), F.col(id_col).cast("long") == F.col(name))
+    return once.union(least_row(found, [name], docs.columns, text_col))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -91,6 +91,31 @@ def test_exact_dedup_many_batches_in_a_node(spark):
     assert (got.kept, got.n, got.s) == (150_000, 200_000, 100_000 + 4 * 50_000)
 
 
+CLASH = "doc_id long, text string, __id long, __digest string, _own_spans int, spans string, items int, n_words long, n_chars long, row string, kept string, n int"
+
+
+def test_forms_that_keep_documents(spark, monkeypatch):
+    """Repeated rows, clashing names and nulls in every column; the result is the same without broadcasts."""
+    from tallyframe.llm import common
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text.upper()), (3, text + " x"), (4, None), (5, ""), (6, "left alone"), (6, "left alone"), (6, "LEFT alone"), (7, "a b"), (7, "c d"), (None, "anon"), (None, "Anon"), (None, "anon"), (8, PASSAGE)]
+    rows = [(i, t, *([None] * 6 if k % 2 else [k, "d", k, "s", k, k]), 3, "r", "k", None) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, CLASH)
+    want_exact = {(1, text), (3, text + " x"), (4, None), (6, "LEFT alone"), (7, "a b"), (7, "c d"), (None, "Anon"), (8, PASSAGE)}
+    want_near = {(1, text), (4, None), (5, ""), (6, "LEFT alone"), (7, "a b"), (None, "anon"), (None, "Anon"), (8, PASSAGE)}
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    for limit in (common.BROADCAST_IDS, 0):
+        monkeypatch.setattr(common, "BROADCAST_IDS", limit)
+        monkeypatch.setattr(minhash, "BROADCAST_IDS", limit)
+        for run, want in ((exact_dedup.drop_exact_copies, want_exact), (minhash.drop_near_copies, want_near), (lambda d: decontaminate.strip_contamination(d, bench), {(r[0], r[1]) for r in rows[:-1]})):
+            out = run(docs)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            got = [tuple(r) for r in out.collect()]
+            assert {r[:2] for r in got} == want and {str(r) for r in got} <= {str(r) for r in rows}
+    assert len(got) == len(rows) - 1
+
+
 def shingles(text, width):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
     return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
