@@ -3,29 +3,76 @@
 from __future__ import annotations
 
 import gzip
+import re
+import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content): a row a file, gzip (by its mark, not its name) unpacked."""
+GZIP = b"\x1f\x8b"
+
+
+def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, content, error_code): a row a file, gzip (by its mark, not its name) unpacked."""
     def run(batches):
         for frame in batches:
             out = []
             for raw in frame["content"]:
                 raw = bytes(raw)
                 try:
-                    out.append((gzip.decompress(raw), None) if raw[:2] == b"\x1f\x8b" else (raw, None))
-                except (OSError, EOFError):
+                    out.append((gzip.decompress(raw), None) if raw[:2] == GZIP else (raw, None))
+                except (OSError, EOFError, zlib.error):
                     out.append((None, "E_GZIP_DECOMPRESS"))
             yield pd.DataFrame({"path": frame["path"], "content": [x for x, _ in out], "error_code": [x for _, x in out]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, content binary, error_code string")
 
 
+def unpacked(raw: bytes, size: int = 1 << 20):
+    """The contents of gzip members one after another, in pieces of about ``size`` bytes."""
+    machine = zlib.decompressobj(31)
+    while raw:
+        piece = machine.decompress(raw, size)
+        raw = machine.unconsumed_tail
+        if piece:
+            yield piece
+        if machine.eof:
+            raw, machine = machine.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+    if rest := machine.flush():
+        yield rest
+
+
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, path): the lines of all files. Plain files and those named .gz are split and read in the
+    JVM; gzip files of other names are found by their mark (a row a file comes to the driver) and
+    unpacked piece by piece, in a task each. Line ends are LF, CRLF and CR."""
+    plain = lambda where: spark.read.text(where).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    marked = [r.path for r in plain(path).where((F.col("at") == 0) & (F.substring(F.col("value").cast("binary"), 1, 2) == F.lit(GZIP))).select("path").distinct().collect()]
+    if not marked:
+        return plain(path).select("value", "path")
+
+    def run(batches):
+        for batch in batches:
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
+                held = b""
+                for piece in unpacked(raw.as_buffer().to_pybytes()):
+                    held += piece
+                    # a carriage return at the very end may be half of a line end
+                    *whole, held = re.split(rb"\r\n|\n|\r(?=[^\n])", held)
+                    if whole:
+                        yield pa.RecordBatch.from_arrays([pa.array(whole, pa.binary()), pa.array([path] * len(whole), pa.string())], ["value", "path"])
+                if held := held.removesuffix(b"\r"):
+                    yield pa.RecordBatch.from_arrays([pa.array([held], pa.binary()), pa.array([path], pa.string())], ["value", "path"])
+
+    packed = spark.read.format("binaryFile").load(marked).select(F.col("path"), "content").mapInArrow(run, "value binary, path string")
+    rest = plain(path).where(~F.col("path").isin(marked)).select("value", "path")
+    return rest.union(packed.select(F.col("value").cast("string"), "path"))
+
+
 @F.pandas_udf(T.StructType([T.StructField("is_valid", T.BooleanType()), T.StructField("offset", T.LongType()), T.StructField("reason", T.StringType())]))
 def utf8_check(content: pd.Series) -> pd.DataFrame:
     """Whether bytes are UTF-8; else where the first bad one stands, counted from 0, and why."""
@@ -39,6 +86,11 @@ def utf8_check(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["is_valid", "offset", "reason"])
 
 
+def utf8(content: Column) -> Column:
+    """utf8_check, with only the bytes that are not UTF-8 sent to Python."""
+    return utf8_check(F.when(~F.is_valid_utf8(content.cast("string")), content))
+
+
 def has_bom(content: Column) -> Column:
     return F.substring(content, 1, 3) == F.lit(b"\xef\xbb\xbf")
 
@@ -65,5 +117,5 @@ def file_report(spark: SparkSession, path: str, quote_aware: bool = False) -> Da
     """A row a file: path, size, sha256, BOM, UTF-8 verdict and line endings."""
     text = F.decode("content", "ISO-8859-1")  # line ends are single bytes in UTF-8
     text = outside_quotes(text) if quote_aware else text
-    checked = files(spark, path).withColumn("utf8", utf8_check("content"))
+    checked = files(spark, path).withColumn("utf8", utf8(F.col("content")))
     return checked.select("path", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), has_bom(F.col("content")).alias("bom"), "utf8.is_valid", "utf8.offset", "utf8.reason", line_endings(text).alias("endings"), "error_code")

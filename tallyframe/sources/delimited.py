@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytes import files, to_lf
+from .bytes import files, lines, to_lf
 from .dialect import SAMPLE_BYTES, detect_delimiter, detect_quoting, head
 
 ROWS = "_row_id long, fields array<string>, error_code string, message string"
@@ -68,17 +69,26 @@ def parse_quoted(text: str, delimiter: str, width: int):
 
 
 def parsed_rows(spark: SparkSession, path: str, delimiter: str, quoted: bool, width: int) -> DataFrame:
-    """Every data row with its 1-based number, fields and error code."""
+    """Every data row with its 1-based number, fields and error code.
+
+    Every file of a folder has a header of its own; rows are numbered on over all files.
+    """
     if quoted:
         def run(batches):
             for frame in batches:
-                for raw in frame["content"].dropna():
-                    text = bytes(raw).decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-                    rows = list(parse_quoted(text, delimiter, width))
-                    yield pd.DataFrame(rows, columns=["_row_id", "fields", "error_code", "message"])
-
-        return files(spark, path).select("content").mapInPandas(run, ROWS)
-    rows = numbered(spark.read.text(path)).where("line > 0")  # line 0 is the header
+                for name, raw in zip(frame["path"], frame["content"]):
+                    if raw is None:
+                        continue
+                    text = bytes(raw).decode("utf-8", "replace").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+                    rows = parse_quoted(text, delimiter, width)
+                    while part := list(itertools.islice(rows, 10_000)):
+                        yield pd.DataFrame([(name, *row) for row in part], columns=["path", "_row_id", "fields", "error_code", "message"])
+
+        rows = files(spark, path).select("path", "content").mapInPandas(run, f"path string, {ROWS}")
+        sizes = rows.groupBy("path").agg(F.max("_row_id").alias("n"))  # a row a file
+        before = sizes.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("before"))
+        return rows.join(F.broadcast(before), "path").select((F.col("_row_id") + F.col("before")).alias("_row_id"), "fields", "error_code", "message")
+    rows = numbered(lines(spark, path))
     fields = F.split("value", f"\\Q{delimiter}\\E", -1)
     extra = F.slice(fields, F.lit(width + 1), F.greatest(F.lit(0), F.size(fields) - width))
     fitted = F.when((F.size(fields) > width) & ~F.exists(extra, lambda x: x != ""), F.slice(fields, 1, width)).otherwise(fields)
@@ -87,15 +97,22 @@ def parsed_rows(spark: SparkSession, path: str, delimiter: str, quoted: bool, wi
     return rows.withColumn("fields", fitted).withColumn("error_code", code).select(F.col("line").alias("_row_id"), "fields", "error_code", message.alias("message"))
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """Lines with their number from 0 in reading order: partitions are counted first (a row each), and
-    what stands before a partition is added to the place within it."""
+def numbered(found: DataFrame) -> DataFrame:
+    """Lines but the first of each path, numbered from 1 in reading order.
+
+    Partitions are counted first (a row for each partition and file); what stands before a partition is
+    added to the place within it, and the headers up to there are taken off.
+    """
     part = F.shiftright(F.col("id"), 33)
-    rows = lines.withColumn("id", F.monotonically_increasing_id())
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    within = F.col("id") - F.shiftleft(part, 33)
-    return rows.withColumn("part", part).join(F.broadcast(before), "part").select("value", (F.col("before") + within).alias("line"))
+    rows = found.withColumn("id", F.monotonically_increasing_id()).withColumn("part", part)
+    sizes = rows.groupBy("part", "path").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    sizes = sizes.withColumn("header", F.col("first") == F.min("first").over(Window.partitionBy("path")))
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("header"), F.col("first"))).alias("headers"))
+    data = F.col("n") - F.size("headers")
+    parts = parts.select("part", "headers", (F.sum(data).over(Window.orderBy("part")) - data).alias("before"))
+    rows = rows.join(F.broadcast(parts), "part").where(~F.array_contains("headers", F.col("id")))
+    above = F.size(F.filter("headers", lambda h: h < F.col("id")))
+    return rows.select("value", (F.col("before") + F.col("id") - F.shiftleft(part, 33) - above + 1).alias("line"))
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, quoted: bool | None = None, has_header: bool = True) -> tuple[DataFrame, DataFrame, dict]:

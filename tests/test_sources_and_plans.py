@@ -45,6 +45,46 @@ def test_unquoted_rows_agree(spark, tmp_path):
     assert rows == [(["1", "a"], None), (["2"], "E_JAGGED_ROW"), (["3", "b"], None), (["4", "b", "c"], "E_JAGGED_ROW"), ([""], "BLANK"), (["5", '"q'], None)]
 
 
+def test_gzip_is_known_by_its_mark(spark, tmp_path):
+    """Unquoted and quoted, one member or several, with all line ends; no suffix says what it is."""
+    body = "id,name\n" + "".join(f"{i},n{i}\n" for i in range(1, 51))
+    packed = gzip.compress(body[:100].encode()) + gzip.compress(body[100:].replace("7\n", "7\r\n").replace("9\n", "9\r").encode())
+    for quoted, text in ((False, packed), (True, gzip.compress("".join(f'{x.split(",")[0]},"{x.split(",")[1]}"\n' for x in body.split()).encode()))):
+        table, errors, dialect = delimited.read_delimited(spark, put(tmp_path, f"plain{quoted}.csv", text), quoted=quoted)
+        got = {r._row_id: (r.id, r.name) for r in table.collect()}
+        assert len(got) == 50 and errors.count() == 0 and got[50] == ("50", "n50") and got[7][0] == "7"
+        assert dialect["delimiter"] == ","
+    pieces = b"".join(raw.unpacked(packed, 16))
+    assert pieces == gzip.decompress(packed)
+    assert profile_file(spark, str(tmp_path / "plainFalse.csv")).totals.first().total_rows == 50
+    (tmp_path / "cut").write_bytes(gzip.compress(body.encode())[:-12])
+    with pytest.raises(RunFailed) as failed:
+        profile_file(spark, str(tmp_path / "cut"))
+    assert failed.value.code == "E_GZIP_DECOMPRESS"
+
+
+@pytest.mark.parametrize("quoted", [False, True])
+def test_folder_of_files(spark, tmp_path, quoted):
+    """Each file has its header; rows are numbered on; one of the files is packed."""
+    mark = '"' if quoted else ""
+    text = lambda n, start: "a,b\n" + "".join(f"{mark}{start + i}{mark},x\n" for i in range(n))
+    put(tmp_path, "1.csv", text(5, 0))
+    put(tmp_path, "2.csv", gzip.compress(text(3, 100).encode()))
+    put(tmp_path, "3.csv", text(1, 200))
+    put(tmp_path, "4.csv", "a,b\n")
+    table, errors, _ = delimited.read_delimited(spark, str(tmp_path), quoted=quoted)
+    rows = table.collect()
+    assert sorted(r._row_id for r in rows) == list(range(1, 10)) and errors.count() == 0
+    assert {r.a for r in rows} == {"0", "1", "2", "3", "4", "100", "101", "102", "200"}
+
+
+def test_delimiter_confidence():
+    assert detect_delimiter(b"a;b\nc;d;e\nf\n") == (";", pytest.approx(1 - (2 / 3) ** 0.5))
+    assert detect_delimiter(b"x|y,z\n1|2,3\n4|5,6,7,8\n")[0] in ("|", ",")
+    assert detect_delimiter(b"one line only") == (",", 0.5)
+    assert detect_delimiter(b"a\tb\tc") == ("\t", 1.0)
+
+
 def test_file_checks(spark, tmp_path):
     put(tmp_path, "a.csv", b"\xef\xbb\xbfa\r\nb\nc\r\n")
     put(tmp_path, "b.csv", b"ok\nbad \xff byte")
