@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -22,9 +23,12 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder named in spark.checkpoint.dir; where that is unset, a temporary one, but only
+    in local mode: on a cluster each executor would write to a disk of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
         spark.sparkContext._conf.set("spark.checkpoint.dir", root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -74,8 +78,12 @@ def least_row(df: DataFrame, keys: list[str], columns: list[str], text_col: str)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts travel in batches of so many rows, from here on, so that neither side holds much."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Whole texts travel in batches of at most so many rows, from here on, so that neither side holds
+    much. The setting is read when a plan runs, after the stage has returned, so it stays with the
+    session; a smaller one that is already set is kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def released(run):
@@ -160,9 +168,42 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n + 1]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums of byte values times powers of the base, modulo 2**64; entry i covers data[:i]."""
-    out = np.empty(len(data) + 1, np.uint64)
+#: A second polynomial, independent of the first.
+BYTE_VALUES_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BASE_2 = 0xC2B2AE3D27D4EB4F | 3
+UNBASE_2 = pow(BASE_2, -1, 1 << 64)
+
+
+def prefix_sums(values: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Sums of values times powers of the base, modulo 2**64; entry i covers values[:i]."""
+    out = np.empty(len(values) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data))[:-1], out=out[1:])
+    np.cumsum(values * powers(base, len(values))[:-1], out=out[1:])
     return out
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    return prefix_sums(BYTE_VALUES[data])
+
+
+def names_of(sums: np.ndarray, start: np.ndarray, end: np.ndarray, unbase: int = UNBASE) -> np.ndarray:
+    """Hashes of what lies from start to end, the same wherever it stands."""
+    return mix((sums[end] - sums[start]) * powers(unbase, len(sums))[start] + (end - start).astype(np.uint64))
+
+
+BLANK = np.zeros(256, bool)
+BLANK[[32, *range(9, 14)]] = True
+
+
+def word_edges(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, stops) of words, runs of bytes without ASCII white space, and where each text of
+    ``at`` begins among them; no word crosses two texts."""
+    blank = BLANK[text]
+    open_, close = ~blank, ~blank
+    open_[1:] &= blank[:-1]
+    close[:-1] &= blank[1:]
+    edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(text))]
+    open_[edges] |= ~blank[edges]
+    close[edges - 1] |= ~blank[edges - 1]
+    starts, stops = np.flatnonzero(open_), np.flatnonzero(close) + 1
+    return starts, stops, np.searchsorted(starts, at)

@@ -16,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BROADCAST_IDS, BYTE_VALUES, LOWER, UNBASE, buffers, fresh, least_row, mix, partitions, powers, released, stage, steps, without
+from .common import BROADCAST_IDS, LOWER, buffers, fresh, least_row, mix, names_of, partitions, prefix_hash, released, stage, steps, without, word_edges
 from .components import components
 
 _lower = np.frombuffer(LOWER, np.uint8)
-_space = np.zeros(256, bool)
-_space[[32, *range(9, 14)]] = True
 #: Signature: bands of rows, so many bands that a pair just at the threshold shares none at most this
 #: often: 28 at a similarity of 0.85, 44 at 0.8.
 ROWS, MISSED = 6, 2e-6
@@ -39,19 +37,8 @@ def shingle_sets(array, width: int):
     for i, j in steps(offsets):
         at = offsets[i:j + 1] - offsets[i]
         text = _lower[data[offsets[i]:offsets[j]]]
-        blank = _space[text]
-        open_, close = ~blank, ~blank
-        open_[1:] &= blank[:-1]
-        close[:-1] &= blank[1:]
-        edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(text))]
-        open_[edges] |= ~blank[edges]
-        close[edges - 1] |= ~blank[edges - 1]
-        starts, stops = np.flatnonzero(open_), np.flatnonzero(close) + 1
-        sums = np.empty(len(text) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(BYTE_VALUES[text] * powers(BASE, len(text))[:-1], out=sums[1:])
-        words = mix((sums[stops] - sums[starts]) * powers(UNBASE, len(text))[starts] + (stops - starts).astype(np.uint64))
-        bounds = np.searchsorted(starts, at)
+        starts, stops, bounds = word_edges(text, at)
+        words = names_of(prefix_hash(text), starts, stops)
         grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
         for k in range(width):
             grams = mix(grams * np.uint64(3) + words[k:k + len(grams)] + np.uint64(k + 1))
