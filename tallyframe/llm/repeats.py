@@ -33,6 +33,8 @@ COVER, GRAM = 128, 16
 WORD_COVER, WORD_GRAM = 32, 3
 #: A longer text is worked on in stretches of this many bytes.
 PIECE = 4 << 20
+#: Rows that need no judging travel in parts of so many.
+PART = 1 << 14
 #: name: of the sample (a window: of it all) by the first polynomial; full: of all by the second.
 ENTRY = np.dtype([("name", "u8"), ("full", "u8"), ("id", "i8"), ("tag", "i8"), ("lo", "i4"), ("end", "i4")])
 WINDOW = np.dtype([("name", "u8"), ("full", "u8"), ("id", "i8"), ("tag", "i8"), ("lo", "i4")])
@@ -154,9 +156,11 @@ def _dealt(unit: int, rows: np.ndarray, buckets: int):
 
 
 def _settled(unit: int, rows: np.ndarray, buckets: int):
-    """Rows that are known to be found twice: they travel under negative buckets, unjudged."""
-    if len(rows):
-        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([-1 - int(rows["full"][0] % np.uint64(buckets))], pa.int32()), pa.array([rows.tobytes()], pa.binary())], ["unit", "bucket", "rows"])
+    """Rows that are known to be found twice: they travel under negative buckets, unjudged, in parts."""
+    parts = [rows[k:k + PART] for k in range(0, len(rows), PART)]
+    if parts:
+        where = [-1 - int(x["full"][0] % np.uint64(buckets)) for x in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([unit] * len(parts), pa.int32()), pa.array(where, pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["unit", "bucket", "rows"])
 
 
 def _groups(rows: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -357,13 +361,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty result. Other columns are not read. ``length`` is at least twice the cover.
     """
     units = units_of(length, passage_words)
-    n = 4 * partitions(docs.sparkSession)
+    n = 2 * partitions(docs.sparkSession)  # a task sorts two buckets of each unit, one at a time
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("real_id"), text.alias("text"))
     # equal rows have equal keys, and equal spans
     rows = rows.select("real_id", F.coalesce("real_id", F.lit(-1)).alias("id"), F.xxhash64("text", F.col("real_id").isNull()).alias("tag"), "text")
     keyed = rows.where(F.octet_length("text") >= min(length, 2 * passage_words - 1)).select("id", "tag", "text")
-    sorted_ = lambda df: df.repartition(n // 4, "unit", "bucket").sortWithinPartitions("unit", "bucket")
+    sorted_ = lambda df: df.repartition(n // 2, "unit", "bucket").sortWithinPartitions("unit", "bucket")
     judged = stage(sorted_(keyed.mapInArrow(_first(units, n), ROWS)).mapInArrow(_second(units), SPANS), "stretches")
     gathered = lambda df: df.groupBy("id", "tag").agg(F.collect_list(F.struct("unit", "lo", "end")).alias("spans")).hint("shuffle_hash")
     # real_id goes along unused, so that both joins read one exchange of the texts
