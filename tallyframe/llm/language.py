@@ -36,8 +36,9 @@ class CentroidModel:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 4, max_texts: int = 512, floor_quantile: float = 0.005, dims: int = DIMS) -> CentroidModel:
     """Learn from at most ``max_texts`` texts of each language, those with the smallest id hashes.
 
-    Rows with a null language, a null text or an empty one teach nothing. The bound is for each
-    language; the number of languages is that of the language column.
+    Rows with a null id or language, a null text or an empty one teach nothing; of several texts of an id
+    and language, that whose counts come first as bytes counts. The bound is for each language; the
+    number of languages is that of the language column. The idf weights are part of this sampled fit.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and text != ''")
     rank = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy(F.xxhash64("id"), "id"))
@@ -53,7 +54,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 found += [row.tobytes() for row in np.log1p(counts).astype(np.float16)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(found, pa.binary())], ["id", "lang", "counts"])
 
-    got = sorted({(r.lang, r.id): bytes(r.counts) for r in picked.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, lang string, counts binary").toLocalIterator()}.items())
+    found = sorted(((r.lang, r.id, bytes(r.counts)) for r in picked.where("id is not null").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, lang string, counts binary").toLocalIterator()), reverse=True)
+    got = sorted({(lang, i): counts for lang, i, counts in found}.items())  # the first of an id comes last
     if not got:
         return CentroidModel(np.ones(dims, np.float32), np.zeros((0, dims), np.float32), [], np.zeros(0))
     langs = np.array([k[0] for k, _ in got], dtype=object)

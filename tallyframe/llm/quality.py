@@ -44,7 +44,8 @@ class NeighbourModel:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 4096, rank: int = 128, neighbours: int = 9, sharpness: float = 16.0, dims: int = DIMS) -> NeighbourModel:
     """Learn from at most ``max_labelled`` labelled documents, those with the smallest id hashes.
 
-    Rows with a null id or label teach nothing; an id with several labels counts by its largest one.
+    Rows with a null id or label teach nothing; an id with several labels counts by its largest one,
+    and one with several texts by that whose counts come first as bytes.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
@@ -57,7 +58,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.binary())], ["id", "label", "counts"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = {r.id: (r.label, r.counts) for r in texts.mapInArrow(released(run), f"id {dict(texts.dtypes)['id']}, label int, counts binary").toLocalIterator()}
+    found = sorted(((r.id, r.counts, r.label) for r in texts.mapInArrow(released(run), f"id {dict(texts.dtypes)['id']}, label int, counts binary").toLocalIterator()), reverse=True)
+    rows = {i: (label, counts) for i, counts, label in found}  # the first of an id comes last
     rows = [rows[k] for k in sorted(rows)]
     if not rows:
         return NeighbourModel(np.ones(dims, np.float32), np.zeros((dims, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, sharpness)

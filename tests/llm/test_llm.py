@@ -229,42 +229,92 @@ def test_one_edit(a, b, near):
     assert line_dedup.within_one_edit(a, b) is near
 
 
-def brute_repeats(rows, length):
+def brute_repeats(rows, length, width=51):
     texts = [(t or "").encode() for _, t in rows]
-    count = {}
-    for t in texts:
-        for i in range(len(t) - length + 1):
-            count[t[i:i + length]] = count.get(t[i:i + length], 0) + 1
+    count, holders = {}, {}
+    cut = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", t)
+    for (i, _), t in zip(rows, texts):
+        for k in range(len(t) - length + 1):
+            count[t[k:k + length]] = count.get(t[k:k + length], 0) + 1
+        w = cut(t)
+        for k in range(len(w) - width + 1):
+            holders.setdefault(tuple(w[k:k + width]), set()).add((i, t))
     out = []
     for t in texts:
-        gone = bytearray(len(t))
-        for i in range(len(t) - length + 1):
-            if count[t[i:i + length]] > 1:
-                gone[i:i + length] = b"\1" * length
+        gone, w = bytearray(len(t)), cut(t)
+        for k in range(len(t) - length + 1):
+            if count[t[k:k + length]] > 1:
+                gone[k:k + length] = b"\1" * length
+        shared = {x for k in range(len(w) - width + 1) if len(holders[tuple(w[k:k + width])]) > 1 for x in range(k, k + width)}
         kept = bytes(c for c, g in zip(t, gone) if not g)
-        out.append((len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest(), len(shared)))
     return out
 
 
+def repeats_of(docs, **settings):
+    return sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in repeats.repeated_spans(docs, **settings).collect())
+
+
 def test_repeats_match_brute_force(spark):
     rng = random.Random(3)
     letter = lambda n, k="abcdefgh": "".join(rng.choice(k) for _ in range(n))
     shared, ragged = letter(900), letter(430)
     rows = [(1, letter(300) + shared + letter(50)), (2, shared[100:]), (3, shared[:405] + "é" + shared[405:]), (4, "a" * 1500), (5, letter(10) + ragged + letter(700)), (6, letter(400) + ragged), (7, letter(399)), (8, "ab" * 500), (8, "ab" * 500), (None, shared[200:700]), (9, None), (10, ""), (11, letter(2000)), (12, letter(600) + letter(20) + ragged[10:420])]
-    got = repeats.repeated_spans(docs_of(spark, rows)).collect()
-    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_repeats(rows, 400))
+    assert repeats_of(docs_of(spark, rows)) == sorted(brute_repeats(rows, 400))
     with pytest.raises(ValueError):
         repeats.repeated_spans(docs_of(spark, rows), length=100)
+    with pytest.raises(ValueError):
+        repeats.repeated_spans(docs_of(spark, rows), passage_words=20)
 
 
-def test_repeats_long_text_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "PIECE", 3000)
-    rng = random.Random(4)
-    text = "".join(rng.choice("abcdef") for _ in range(9000))
-    batch = pa.RecordBatch.from_pydict({"text": [text]})
-    monkeypatch.setattr(repeats, "steps", lambda offsets: [(0, 1)])
-    found = [x[4] for x in repeats._texts(batch, 400)]
-    assert found == [0, 3000, 6000]
+@pytest.mark.parametrize("piece", [4 << 20, 700])
+def test_passages_match_brute_force(spark, monkeypatch, piece):
+    """Passages of words around the bound, inside and across documents; long texts also in pieces."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(["a", "of", "the", "lorem", "é", "xxxxxxxxxx"]) + str(rng.randrange(30))
+    some = lambda n: [word() for _ in range(n)]
+    parts = [some(n) for n in (40, 50, 51, 52, 70, 130)]
+    rows = []
+    for i in range(40):
+        words = some(rng.randrange(0, 60))
+        for _ in range(rng.randrange(0, 3)):
+            words += rng.choice(parts) + some(rng.randrange(0, 9))
+        rows.append((i, rng.choice([" ", "\n", "  "]).join(words)))
+    own = some(60)
+    rows += [(50, " ".join(own + ["x"] + own)), (51, " ".join(own[:50])), (52, "same word " * 100), (53, "z" * 3000), (54, " ".join(parts[5])), (54, " ".join(parts[5])), (None, " ".join(parts[4])), (55, None)]
+    if piece == 700:  # workers import the module anew, so small pieces are compared here
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        units = repeats.units_of(400, 51)
+        for i, t in rows:
+            text = np.frombuffer((t or "").encode(), np.uint8)
+            one, two, _ = repeats._word_values(*repeats._byte_sums(text), text, np.array([0, len(text)]))
+            got = [np.concatenate(x) for x in zip(*repeats._long_words(text))] or [one, two]
+            assert (got[0] == one).all() and (got[1] == two).all()
+            monkeypatch.setattr(repeats, "steps", lambda offsets: [(0, 1)])
+            batch = pa.RecordBatch.from_pydict({"text": [t or ""]})
+            want, found = {0: set(), 1: set()}, {0: set(), 1: set()}
+            for size, into in ((1 << 20, want), (piece, found)):
+                monkeypatch.setattr(repeats, "PIECE", size)
+                for unit, _, at, a, b, base in repeats._texts(batch, units):
+                    got = repeats.stretches(a, b, np.repeat(at[1:], np.diff(at)), unit)
+                    for lo, end in zip(*got[:2]) if got else ():
+                        into[unit.number] |= {int(x) + base for x in range(lo, end - unit.length + 1)}
+            assert want == found
+    else:
+        assert repeats_of(docs_of(spark, rows)) == sorted(brute_repeats(rows, 400))
+
+
+def test_repeats_in_a_text_of_megabytes(spark):
+    """A text over PIECE, beside one that holds stretches of it over the seam of two pieces."""
+    rng = np.random.default_rng(4)
+    long = "".join(np.array(list("abcdefghij klmnop"))[rng.integers(0, 17, repeats.PIECE + 300_000)])
+    seam = repeats.PIECE
+    rows = [(1, long), (2, long[seam - 200:seam + 200]), (3, "x" + long[seam - 2000:seam + 1500] + "y"), (4, long[seam - 199:seam + 200]), (5, long[-450:])]
+    got = {r.id: r for r in repeats.repeated_spans(docs_of(spark, rows)).collect()}
+    assert [(x.lo, x.end) for x in got[1].spans] == [(seam - 2000, seam + 1500), (len(long) - 450, len(long))]
+    assert [(got[i].n_removed, got[i].n_spans) for i in (2, 3, 4, 5)] == [(400, 1), (3500, 1), (0, 0), (450, 1)]
+    n = len(rows[2][1].split(" "))
+    assert got[3].n_passage_words in range(n - 3, n + 1)
 
 
 def test_repeats_empty(none):
@@ -410,11 +460,11 @@ def test_language(spark, docs, none):
 
 def test_warc(spark, tmp_path):
     rows = [
-        (1, "http://www.A.com/x/?utm_source=1", 10, "response", 200, {"ETag": "e1", "Date": "d1", "X": "1"}, "body one\nline"),
+        (1, "http://www.A.com/x/?utm_source=1", 10, "response", 200, {"ETag": "e1", "Date": "d1", "X": "1"}, b"body one\nline"),
         (2, "https://a.com:443/x#f", 5000, "revisit", 304, {"etag": "e1", "Date": "d2", "Content-Length": "0"}, None),
         (3, "a.com/x", 6000, "revisit", 304, {"ETag": "other"}, None),
         (4, "http://b.com/", 5, "revisit", 304, {}, None),
-        (5, "http://a.com/x", 9000, "response", 200, {"Last-Modified": "m"}, "two"),
+        (5, "http://a.com/x", 9000, "response", 200, {"Last-Modified": "m", "Set-Cookie": "a\nb"}, bytes(range(256)) + b"\r\n\r\nWARC/1.1\n"),
         (6, "http://a.com/x", 9000, "revisit", 304, {"last-modified": "m"}, None),
         (7, None, None, "revisit", 304, None, None),
         (8, "http://a.com/x", 1, "request", None, None, None),
@@ -422,12 +472,62 @@ def test_warc(spark, tmp_path):
     d = spark.createDataFrame(rows, warc.RECORD)
     got = {r.record_id: r for r in warc.resolve_revisits(d.withColumn("extra", F.lit(1)), block_seconds=100).collect()}
     assert {i: r.outcome for i, r in got.items()} == {1: "full", 2: "resolved", 3: "mismatch", 4: "missing", 5: "full", 6: "resolved", 7: "missing", 8: "other"}
-    assert got[2].payload == "body one\nline" and got[2].headers == {"etag": "e1", "date": "d2", "x": "1"} and got[2].source_id == 1
-    assert got[6].source_id == 5 and got[1].url_key == "a.com/x" and got[2].extra == 1
+    assert got[2].payload == b"body one\nline" and got[2].headers == {"etag": "e1", "date": "d2", "x": "1"} and got[2].source_id == 1
+    assert got[6].source_id == 5 and got[6].payload == rows[4][6] and got[1].url_key == "a.com/x" and got[2].extra == 1
     assert warc.resolve_revisits(d.limit(0)).count() == 0
     warc.write_warc(d.where("record_id < 7"), str(tmp_path / "w"))
     back = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
-    assert {i: (back[i].url, back[i].ts, back[i].kind, back[i].status, back[i].headers, back[i].payload) for i in back} == {r[0]: (*r[1:6], r[6] or "") for r in rows[:6]}
+    assert {i: (back[i].url, back[i].ts, back[i].kind, back[i].status, back[i].headers, back[i].payload) for i in back} == {r[0]: (*r[1:6], r[6] or b"") for r in rows[:6]}
+
+
+def test_warc_headers_and_names(spark):
+    """Names that differ in case, names used inside, repeated ids and rows, nulls in every column."""
+    rows = [
+        (1, "a.com", 10, "response", 200, {"ETag": "e", "X-A": "1", "x-a": "2", "n": None}, b"late"),
+        (1, "a.com", 5, "response", 200, {"ETAG": "e"}, b"early"),
+        (1, "a.com", 5, "response", 200, {"ETAG": "e"}, b"early"),
+        (2, "a.com", 20, "revisit", 304, {"ETag": "e", "etag": "e"}, None),
+        (3, "a.com", 20, "revisit", 304, {"etag": "e", "Vary": "v", "VARY": "w"}, None),
+        (None, "a.com", 1, "revisit", 304, {"etag": "e"}, None),
+        (None, None, None, None, None, None, None),
+    ]
+    d = spark.createDataFrame(rows, warc.RECORD)
+    for name in ("url_key", "outcome", "source_id", "before", "last", "__full", "_w_full", "__source", "a.b", "id", "seen"):
+        d = d.withColumn(name, F.lit("mine"))
+    out = warc.resolve_revisits(d, block_seconds=3)
+    got = out.collect()
+    assert out.columns.count("url_key") == 1 and len(got) == len(rows) and all(r["before"] == r["_w_full"] == r["a.b"] == "mine" for r in got)
+    by = {(r.record_id, r.ts): r for r in got}
+    assert by[(1, 10)].headers == {"etag": "e", "x-a": "1\n2", "n": None}
+    assert (by[(2, 20)].outcome, by[(2, 20)].payload) == ("resolved", b"early")
+    assert (by[(3, 20)].outcome, by[(3, 20)].payload, by[(3, 20)].headers) == ("resolved", b"early", {"etag": "e", "vary": "w\nv"})
+    assert by[(None, 1)].outcome == "missing" and by[(None, None)].outcome == "other"
+
+
+def test_warc_of_a_crawl(spark, tmp_path):
+    """What crawlers write: a gzip member for each record, names as UUIDs, other kinds of records,
+    repeated fields, a body in another encoding, and a file that breaks off."""
+    import gzip
+
+    def record(kind, name, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 2024-03-01T00:00:0%dZ" % len(name), "Content-Length: %d" % len(block), *more]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    page = "Content-Type: text/html; charset=iso-8859-1\r\nSet-Cookie: a=1\r\nset-cookie: b=2, c\r\nETag: \"x\"\r\n\r\ncaf\xe9".encode("latin-1")
+    uri = "WARC-Target-URI: http://site.org/p"
+    parts = [
+        record("warcinfo", "w", b"software: some crawler\r\n\r\nmore\r\n"), record("request", "q", b"GET /p HTTP/1.1\r\nHost: site.org\r\n\r\n", uri),
+        record("response", "rr", b"HTTP/1.1 200 OK\r\n" + page, uri), record("revisit", "vvv", b"HTTP/1.1 304 Not Modified\r\nETag: \"x\"\r\n\r\n", uri),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "b.warc").write_bytes(b"".join(parts[2:])[:-30])
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(parts[2]) + gzip.compress(parts[3])[:-15])
+    got = {r.kind: r for r in warc.resolve_revisits(warc.read_warc(spark, str(tmp_path / "a.warc.gz"))).collect()}
+    assert sorted(got) == ["request", "response", "revisit", "warcinfo"] and got["response"].payload == b"caf\xe9"
+    assert got["response"].headers["set-cookie"] == "a=1\nb=2, c" and got["warcinfo"].status is None
+    assert (got["revisit"].outcome, got["revisit"].payload, got["revisit"].source_id) == ("resolved", b"caf\xe9", got["response"].record_id)
+    for name in ("b.warc", "c.warc.gz"):
+        assert [r.kind for r in warc.read_warc(spark, str(tmp_path / name)).collect()] == ["response"]
 
 
 SF = "/root/testdata/sf0.001"
