@@ -39,6 +39,8 @@ class ProfileConfig:
     continue_on_error: bool = True
     expect_crlf: bool = False
     null_tokens: tuple[str, ...] = ()
+    #: Types that a user expects, by column: kept with the settings, never read by inference.
+    type_hints: dict[str, str] = field(default_factory=dict)
     thresholds: Thresholds = field(default_factory=Thresholds)
 
     def __post_init__(self):

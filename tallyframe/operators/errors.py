@@ -41,7 +41,10 @@ FRIENDLY = {
 
 
 def friendly(code: str, message: str = "") -> str:
-    return FRIENDLY.get(code, message or MESSAGES.get(code, code))
+    """Words for a user, then the technical message where there is one; other codes have only that."""
+    if code not in FRIENDLY:
+        return message or MESSAGES.get(code, code)
+    return f"{FRIENDLY[code]} ({message})" if message else FRIENDLY[code]
 
 
 def rollup(errors: DataFrame, total_rows: int | None = None) -> DataFrame:

@@ -54,11 +54,19 @@ def top_list(freq: DataFrame, n: int = 10) -> DataFrame:
 
 
 def first_values(long: DataFrame, n: int = 100) -> DataFrame:
-    """The first n non-blank values of each column in row order, stripped: (col, ordinal, _row_id, value)."""
+    """The first n non-blank values of each column in row order, stripped: (col, ordinal, _row_id, value).
+
+    Row numbers are counted by their number of binary digits first (a hash aggregate, a row for each
+    column and length); only rows up to the length at which a column has its n values are then sorted.
+    """
     from pyspark.sql import Window
 
-    v = strip(F.col("value"))
-    rows = long.withColumn("value", v).where(F.col("value") != "")
+    filled = long.where(F.col("value").rlike(r"(?U)\S"))
+    digits = F.when(F.col(ROW_ID) < 0, -F.length(F.bin(-F.col(ROW_ID)))).otherwise(F.length(F.bin(F.col(ROW_ID))))
+    counts = filled.groupBy("col", digits.alias("digits")).agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy("col").orderBy("digits")) - F.col("k")
+    most = counts.withColumn("before", before).where(F.col("before") < n).groupBy("col").agg(F.max("digits").alias("most"))
+    rows = filled.join(F.broadcast(most), "col").where(digits <= F.col("most")).withColumn("value", strip(F.col("value")))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(ROW_ID), F.lit(64)))
     near = salted.withColumn("rank", F.row_number().over(Window.partitionBy("col", "salt").orderBy(ROW_ID))).where(F.col("rank") <= n)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("col").orderBy(ROW_ID))).where(F.col("rank") <= n).select("col", "ordinal", ROW_ID, "value")

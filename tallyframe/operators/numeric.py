@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import is_blank, is_numeric, strip
+from ..functions.kernels import is_numeric, strip
+from .longform import frequencies
 
 #: The quantiles reported.
 QUANTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -13,9 +14,10 @@ BINS = 10
 
 
 def typed(long: DataFrame) -> DataFrame:
-    """Cells with ``x``, the number, where the value is a valid one."""
-    v = strip(F.col("value"))
-    return long.withColumn("blank", is_blank(F.col("value"))).withColumn("x", F.when(is_numeric(v), F.expr("try_cast(regexp_replace(value, '(?U)^\\\\s+|\\\\s+\\\\z', '') AS DOUBLE)")))
+    """Cells with ``blank`` and with ``x``, the number, where the value is a valid one."""
+    v = F.col("stripped")  # a column of its own, so that the pattern runs once for each cell
+    cells = long.withColumn("stripped", strip(F.col("value")))
+    return cells.withColumn("blank", v.isNull() | (v == "")).withColumn("x", F.when(is_numeric(v), v.try_cast("double"))).drop("stripped")
 
 
 def normality(n: Column, skew: Column, excess: Column) -> Column:
@@ -40,21 +42,16 @@ def normality(n: Column, skew: Column, excess: Column) -> Column:
 def numeric_profile(long: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     """One row a column: counts, min, max, mean, stddev, median, quantiles, gaussian_pvalue.
 
-    Moments merge partial sums of squared deviations; quantiles interpolate on (n - 1) p. With the
-    frequencies given, quantiles come from exact_quantiles and no column meets in one task.
+    Moments merge partial sums of squared deviations; quantiles interpolate on (n - 1) p and come from
+    exact_quantiles over the frequencies (made here unless given), so that no column meets in one task.
     """
     cells = typed(long)
-    p = F.percentile("x", F.array(*map(F.lit, QUANTILES.values())))
-    names = F.array(*map(F.lit, QUANTILES))
     out = cells.groupBy("col", "ordinal").agg(
         F.count("*").alias("count"), F.count_if("blank").alias("null_count"), F.count("x").alias("valid_count"), F.count_if(~F.col("blank") & F.col("x").isNull()).alias("invalid_count"),
-        F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("excess"), *([] if freq is not None else [p.alias("p")]),
+        F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("excess"),
     )
-    if freq is None:
-        out = out.withColumn("quantiles", F.when(F.col("valid_count") > 0, F.map_from_arrays(names, "p")))
-    else:
-        found = exact_quantiles(freq).groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("name", "quantile"))).alias("quantiles"))
-        out = out.join(F.broadcast(found), "col", "left")  # a row a column
+    found = exact_quantiles(frequencies(long) if freq is None else freq).groupBy("col").agg(F.map_from_entries(F.collect_list(F.struct("name", "quantile"))).alias("quantiles"))
+    out = out.join(F.broadcast(found), "col", "left")  # a row a column
     return out.select("col", "ordinal", "count", "null_count", "valid_count", "invalid_count", "min", "max", "mean", "stddev", F.col("quantiles")["p50"].alias("median"), "quantiles", normality(F.col("valid_count"), F.col("skew"), F.col("excess")).alias("gaussian_pvalue"))
 
 
@@ -74,13 +71,15 @@ def exact_quantiles(freq: DataFrame, wanted: dict[str, float] | None = None, ran
     totals = x.groupBy("col", "range").agg(F.sum("cnt").alias("here"))
     by_range = Window.partitionBy("col").orderBy("range")
     below = totals.withColumn("below", F.sum("here").over(by_range) - F.col("here")).withColumn("n", F.sum("here").over(Window.partitionBy("col")))
-    last = F.sum("cnt").over(Window.partitionBy("col", "range").orderBy("x")) + F.col("below")
-    placed = x.join(F.broadcast(below), ["col", "range"]).withColumn("last", last - 1).withColumn("first", F.col("last") - F.col("cnt") + 1)
-    asks = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(p).alias("p")) for k, p in wanted.items())))
-    found = placed.withColumn("ask", asks).withColumn("at", (F.col("n") - 1) * F.col("ask.p"))
-    low, high = F.floor("at"), F.ceil("at")
-    holds = lambda place: (F.col("first") <= place) & (place <= F.col("last"))
-    both = found.where(holds(low) | holds(high)).groupBy("col", "ask.name").agg(F.max(F.when(holds(low), F.col("x"))).alias("a"), F.max(F.when(holds(high), F.col("x"))).alias("b"), F.max("at").alias("at"))
+    asks = F.array(*(F.struct(F.lit(k).alias("name"), ((F.col("n") - 1) * p).alias("at")) for k, p in wanted.items()))
+    holds = lambda at, first, last: ((first <= F.floor(at)) & (F.floor(at) <= last)) | ((first <= F.ceil(at)) & (F.ceil(at) <= last))
+    # only ranges that hold a rank asked for are put in order, and only values that hold one are kept
+    below = below.withColumn("asks", F.filter(asks, lambda a: holds(a["at"], F.col("below"), F.col("below") + F.col("here") - 1))).where(F.size("asks") > 0).drop("here", "n")
+    last = F.sum("cnt").over(Window.partitionBy("col", "range").orderBy("x")) + F.col("below") - 1
+    placed = x.join(F.broadcast(below), ["col", "range"]).withColumn("last", last).withColumn("first", F.col("last") - F.col("cnt") + 1)
+    found = placed.withColumn("ask", F.explode(F.filter("asks", lambda a: holds(a["at"], F.col("first"), F.col("last"))))).withColumn("at", F.col("ask.at"))
+    inside = lambda place: (F.col("first") <= place) & (place <= F.col("last"))
+    both = found.groupBy("col", "ask.name").agg(F.max(F.when(inside(F.floor("at")), F.col("x"))).alias("a"), F.max(F.when(inside(F.ceil("at")), F.col("x"))).alias("b"), F.max("at").alias("at"))
     return both.select("col", "name", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("quantile"))
 
 

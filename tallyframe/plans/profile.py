@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 import uuid
 from collections.abc import Callable
@@ -24,6 +25,17 @@ class RunFailed(Exception):
         self.code = code
 
 
+@contextlib.contextmanager
+def failing(code: str):
+    """What fails inside ends the run with this code, unless it has one of its own."""
+    try:
+        yield
+    except RunFailed:
+        raise
+    except Exception as bad:
+        raise RunFailed(getattr(bad, "code", code), str(bad)) from bad
+
+
 @dataclass
 class Profile:
     """DataFrames: one row a column in ``columns``; frequencies for whatever else is asked."""
@@ -50,6 +62,11 @@ class Profile:
         counts = distinct_counts(self.freq)
         return keys.suggest_keys(counts, keys.compound_stats(self.table, counts, max_size))
 
+    def release(self) -> None:
+        """Give back what the profile keeps cached on the executors."""
+        self.freq.unpersist()
+        self.columns.unpersist()
+
     def register(self, prefix: str = "profile") -> None:
         """Temp views of the results."""
         for name in ("columns", "candidate_keys", "errors", "totals"):
@@ -65,7 +82,8 @@ def column_profiles(long: DataFrame, freq: DataFrame, config: ProfileConfig = Pr
     spark = long.sparkSession
     # the one mid-flight collect, a row a column: what no column needs is then not planned at all
     inferred = infer.infer_types(long, freq, t)
-    types = spark.createDataFrame(inferred.collect(), inferred.schema)
+    with failing("E_TYPE_INFERENCE_FAILED"):
+        types = spark.createDataFrame(inferred.collect(), inferred.schema)
     kinds: dict[str, list[str]] = {}
     for r in types.collect():
         kinds.setdefault(r.type or "unknown", []).append(r.col)
@@ -124,7 +142,8 @@ def profile_table(df: DataFrame, config: ProfileConfig = ProfileConfig(), found:
 def profile_file(spark: SparkSession, path: str, config: ProfileConfig = ProfileConfig(), progress: Callable[[int, str], None] = lambda share, step: None) -> Profile:
     """Check, read and profile a delimited file; raises RunFailed with the code of what ends a run."""
     progress(0, "started")
-    report = byte_checks.file_report(spark, path).collect()  # a row a file
+    with failing("E_PROCESSING_FAILED"):
+        report = byte_checks.file_report(spark, path).collect()  # a row a file
     progress(10, "checked")
     for r in report:
         if r.error_code:
@@ -132,10 +151,8 @@ def profile_file(spark: SparkSession, path: str, config: ProfileConfig = Profile
         if not r.is_valid:
             raise RunFailed("E_UTF8_INVALID", f"byte {r.offset} of {r.path}: {r.reason}")
     first = min((r.path for r in report), default=path)
-    try:
+    with failing("E_CSV_PARSE_FAILED"):
         table, found, dialect = delimited.read_delimited(spark, first if len(report) == 1 else path, config.delimiter, config.quoted, config.has_header)
-    except delimited.HeaderMissing as bad:
-        raise RunFailed(bad.code, str(bad)) from bad
     progress(30, "read")
     notes = []
     if config.delimiter and dialect["delimiter"] != config.delimiter and dialect["delimiter_confidence"] > 0.7:
@@ -144,11 +161,13 @@ def profile_file(spark: SparkSession, path: str, config: ProfileConfig = Profile
         notes.append(("W_QUOTING_MISMATCH", f"declared {config.quoted}, detected {dialect['quoted']}"))
     if any(r.endings.mixed for r in report):
         notes.append(("W_LINE_ENDING", "mixed line endings"))
-    fatal = found.where("code = 'E_JAGGED_ROW'").orderBy("line").first()
+    with failing("E_CSV_PARSE_FAILED"):
+        fatal = found.where("code = 'E_JAGGED_ROW'").orderBy("line").first()
     if fatal is not None:
         raise RunFailed("E_JAGGED_ROW", f"row {fatal.line}: {fatal.message}")
     if notes:
         found = found.union(spark.createDataFrame([(c, m, None) for c, m in notes], "code string, message string, line long"))
-    out = profile_table(table, config, found, dialect | {"files": [{"path": r.path, "sha256": r.sha256, "n_bytes": r.n_bytes, "bom": r.bom, "line_ending": r.endings.style, "crlf": r.endings.crlf > 0} for r in report], "at": time.time()})
+    with failing("E_PIPELINE_FAILED"):
+        out = profile_table(table, config, found, dialect | {"files": [{"path": r.path, "sha256": r.sha256, "n_bytes": r.n_bytes, "bom": r.bom, "line_ending": r.endings.style, "crlf": r.endings.crlf > 0} for r in report], "at": time.time()})
     progress(100, "done")
     return out

@@ -227,7 +227,7 @@ def q_line_endings(spark, sf_dir):
 def q_utf8(spark, sf_dir):
     """Texts as bytes, every fifth with a bad byte at its end: validity and the offset of the fault."""
     bad = F.when(F.col("doc_id") % 5 == 0, F.concat(F.encode("text", "UTF-8"), F.lit(b"\xff"))).otherwise(F.encode("text", "UTF-8"))
-    found = table(spark, sf_dir, "documents", "doc_id", raw.utf8_check(bad).alias("u"), F.is_valid_utf8(bad).alias("also"))
+    found = table(spark, sf_dir, "documents", "doc_id", raw.utf8(bad).alias("u"), F.is_valid_utf8(bad).alias("also"))
     return found.select(F.col("_row_id").alias("doc_id"), "u.is_valid", "u.offset", "also")
 
 
@@ -331,7 +331,7 @@ f AS (SELECT col, exp(-(z1 * z1 + ((1 - 2 / (9 * w) - sign(den) * power((1 - 2 /
 SELECT col, count, null_count, valid_count, invalid_count, min, max, round(mean, 4) AS mean, round(stddev, 4) AS stddev, round(median, 4) AS median, {', '.join(f'round({name}, 4) AS {name}' for name in numeric.QUANTILES)}, round(p, 9) AS gaussian_pvalue FROM s LEFT JOIN f USING (col)""",
     "exact_quantiles": f"WITH long AS ({long_sql('orders', 'o_orderkey', {c: c for c in ('o_totalprice', 'o_custkey')})}), x AS (SELECT col, CAST(value AS DOUBLE) AS x FROM long) " + " UNION ALL ".join(f"SELECT col, '{name}' AS name, round(quantile_cont(x, {q}), 6) AS quantile FROM x GROUP BY col" for name, q in numeric.QUANTILES.items()),
     "histogram": f"WITH long AS ({long_sql('orders', 'o_orderkey', NUMBERS)}), x AS (SELECT col, CAST(value AS DOUBLE) AS x FROM long WHERE regexp_full_match(value, {NUM})), e AS (SELECT col, min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 10 AS w FROM x GROUP BY col), b AS (SELECT col, lo + (CASE WHEN x = hi THEN 9 ELSE floor((x - lo) / w) END) * w AS s, w FROM x JOIN e USING (col)) SELECT col, printf('%.2f', s) || '-' || printf('%.2f', s + w) AS bin, count(*) AS cnt FROM b GROUP BY ALL",
-    "string_profile": f"WITH long AS ({long_sql('customer', 'c_custkey', WORDS)} UNION ALL {long_sql('documents', 'doc_id', {'lang': 'lang', 'opening': 'substring(text, 1, 40)'})}), t AS (SELECT col, value, CASE WHEN {STRIP} <> '' THEN {STRIP} END AS v FROM long) SELECT col, count(*) AS count, count(*) - count(v) AS null_count, count(v) AS valid_count, CAST(min(length(v)) AS INT) AS min_length, CAST(max(length(v)) AS INT) AS max_length, round(avg(length(v)), 6) AS avg_length, concat_ws(',', CASE WHEN bool_or(regexp_matches(v, '\\p{{L}}')) THEN 'alpha' END, CASE WHEN bool_or(regexp_matches(v, '\\p{{Nd}}')) THEN 'digit' END, CASE WHEN bool_or(regexp_matches(v, '\\s')) THEN 'space' END, CASE WHEN bool_or(regexp_matches(v, '[!-/:-@\\[-`{{-~]')) THEN 'special' END) AS character_types, coalesce(bool_or(regexp_matches(v, '[^\\x00-\\x7F]')), false) AS has_non_ascii FROM t GROUP BY col",
+    "string_profile": f"WITH long AS ({long_sql('customer', 'c_custkey', WORDS)} UNION ALL {long_sql('documents', 'doc_id', {'lang': 'lang', 'text': 'text'})}), t AS (SELECT col, value, CASE WHEN {STRIP} <> '' THEN {STRIP} END AS v FROM long) SELECT col, count(*) AS count, count(*) - count(v) AS null_count, count(v) AS valid_count, CAST(min(length(v)) AS INT) AS min_length, CAST(max(length(v)) AS INT) AS max_length, round(avg(length(v)), 6) AS avg_length, concat_ws(',', CASE WHEN bool_or(regexp_matches(v, '\\p{{L}}')) THEN 'alpha' END, CASE WHEN bool_or(regexp_matches(v, '\\p{{Nd}}')) THEN 'digit' END, CASE WHEN bool_or(regexp_matches(v, '\\s')) THEN 'space' END, CASE WHEN bool_or(regexp_matches(v, '[!-/:-@\\[-`{{-~]')) THEN 'special' END) AS character_types, coalesce(bool_or(regexp_matches(v, '[^\\x00-\\x7F]')), false) AS has_non_ascii FROM t GROUP BY col",
     "code_profile": f"WITH long AS ({long_sql('customer', 'c_custkey', WORDS)}) SELECT col, count(*) AS count, count(value) AS valid_count, count(DISTINCT value) AS distinct_count, count(DISTINCT value) / count(*) AS cardinality_ratio, CAST(min(length(value)) AS INT) AS min_length, CAST(max(length(value)) AS INT) AS max_length, round(avg(length(value)), 6) AS avg_length FROM long GROUP BY col",
     "money_profile": f"WITH long AS ({AMOUNTS}), {LABELLED} SELECT col, count(*) AS total_count, count_if(v IS NULL) AS null_count, count_if(ok) AS valid_count, count_if(NOT ok) AS invalid_count, min(CASE WHEN ok THEN CAST(v AS DOUBLE) END) AS min_value, max(CASE WHEN ok THEN CAST(v AS DOUBLE) END) AS max_value, count_if(dollar_sign) AS dollar_sign, count_if(comma) AS comma, count_if(parentheses) AS parentheses, count_if(wrong_decimals) AS wrong_decimals, count_if(wrong_decimals) = 0 AS two_decimal_ok, count_if(dollar_sign OR comma OR parentheses) > 0 AS disallowed_symbols_found, round(100.0 * count_if(ok) / count(*), 6) AS valid_pct, round(100.0 * count_if(NOT ok) / count(*), 6) AS invalid_pct, round(100.0 * count_if(v IS NULL) / count(*), 6) AS null_pct FROM labelled GROUP BY col",
     "money_examples": f"WITH long AS ({AMOUNTS}), {LABELLED}, u AS (" + " UNION ALL ".join(f"SELECT col, '{x}' AS kind, row_id, v FROM labelled WHERE {x}" + (" AND contains(v, '.')" if x == "wrong_decimals" else "") for x in money.LABELS) + ") SELECT col, kind, CAST(rank AS INT) AS rank, v AS example FROM (SELECT *, row_number() OVER (PARTITION BY col, kind ORDER BY row_id) AS rank FROM u) WHERE rank <= 3",

@@ -113,9 +113,11 @@ def to_lf(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
-def file_report(spark: SparkSession, path: str, quote_aware: bool = False) -> DataFrame:
-    """A row a file: path, size, sha256, BOM, UTF-8 verdict and line endings."""
+def file_report(spark: SparkSession, path: str, quote_aware: bool = False, census_bytes: int | None = None) -> DataFrame:
+    """A row a file: path, size, sha256, BOM, UTF-8 verdict and line endings (of the first
+    ``census_bytes``, if given)."""
     text = F.decode("content", "ISO-8859-1")  # line ends are single bytes in UTF-8
+    text = text if census_bytes is None else F.substring(text, 1, census_bytes)
     text = outside_quotes(text) if quote_aware else text
     checked = files(spark, path).withColumn("utf8", utf8(F.col("content")))
     return checked.select("path", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), has_bom(F.col("content")).alias("bom"), "utf8.is_valid", "utf8.offset", "utf8.reason", line_endings(text).alias("endings"), "error_code")

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tallyframe.functions import kernels as k
@@ -143,3 +146,33 @@ def test_error_rollup_and_samples(spark):
     assert got[1].is_catastrophic and got[1].message == "Inconsistent column count detected"
     assert errors.sampled(e, 1).count() == 2
     assert errors.friendly("E_UTF8_INVALID").startswith("The file has bytes")
+    assert errors.friendly("E_JAGGED_ROW", "row 7").endswith("(row 7)") and errors.friendly("E_NEW", "as it is") == "as it is"
+
+
+@pytest.mark.parametrize("rows", [[(i, str(i)) for i in range(300)], [(i << 33, f" {i} ") for i in range(150)] + [(i, "  " if i % 2 else None) for i in range(1, 3000)], [(-i, f"n{i}") for i in range(400)], [(7, "one")], []])
+def test_first_values_in_row_order(spark, rows):
+    df = spark.createDataFrame(rows, "_row_id long, v string").withColumn("w", F.lit(None).cast("string")).repartition(3)
+    got = longform.first_values(longform.to_long(df), 100).orderBy("_row_id").collect()
+    want = sorted((i, v.strip()) for i, v in rows if v and v.strip())[:100]
+    assert [(r._row_id, r.value) for r in got] == want
+
+
+def test_quantiles_without_frequencies(spark):
+    rng = random.Random(3)
+    values = [round(rng.lognormvariate(0, 3), 3) for _ in range(3000)] + [1.5] * 1500
+    df = spark.createDataFrame([(i, repr(v), str(i % 3)) for i, v in enumerate(values)], "_row_id long, v string, w string")
+    got = {r.col: r.quantiles for r in numeric.numeric_profile(longform.to_long(df)).collect()}
+    for name, p in numeric.QUANTILES.items():
+        assert got["v"][name] == pytest.approx(np.quantile(values, p), rel=1e-9)
+        assert got["w"][name] == pytest.approx(np.quantile([i % 3 for i in range(4500)], p))
+
+
+def test_unexpected_failures_have_codes(spark, tmp_path):
+    from tallyframe.plans import profile
+
+    with pytest.raises(profile.RunFailed) as failed:
+        profile.profile_file(spark, str(tmp_path / "not there"))
+    assert failed.value.code == "E_PROCESSING_FAILED"
+    with pytest.raises(profile.RunFailed) as failed, profile.failing("E_PIPELINE_FAILED"):
+        raise KeyError("x")
+    assert failed.value.code == "E_PIPELINE_FAILED"
