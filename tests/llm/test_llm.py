@@ -313,7 +313,7 @@ def test_repeats_in_a_text_of_megabytes(spark):
     got = {r.id: r for r in repeats.repeated_spans(docs_of(spark, rows)).collect()}
     assert [(x.lo, x.end) for x in got[1].spans] == [(seam - 2000, seam + 1500), (len(long) - 450, len(long))]
     assert [(got[i].n_removed, got[i].n_spans) for i in (2, 3, 4, 5)] == [(400, 1), (3500, 1), (0, 0), (450, 1)]
-    n = len(rows[2][1].split(" "))
+    n = len(rows[2][1].split())
     assert got[3].n_passage_words in range(n - 3, n + 1)
 
 
