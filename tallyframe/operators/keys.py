@@ -40,26 +40,73 @@ def strict_keys(counts: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return stats.where(F.col("score") >= t.strict_key_score).orderBy(F.desc("score"), "invalid_count", "ordinal").limit(t.keys)
 
 
+COMPOUND = "columns array<string>, distinct_ratio double, null_ratio_sum double, score double, invalid_count long, ordinal int, estimated_duplicates long"
+
+
+def _cell(name: str) -> Column:
+    text = F.col(f"`{name}`").cast("string")
+    return F.when(text != "", text)
+
+
+def _count_keys(df: DataFrame, combos: list[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[int, int]]:
+    """(distinct keys, rows without a null part) of each combination, by one shuffle of keys."""
+    if not combos:
+        return {}
+    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.array(*map(_cell, c)).alias("key")) for i, c in enumerate(combos))))
+    long = df.select(keys.alias("k")).where(~F.exists("k.key", lambda x: x.isNull())).groupBy("k.i", "k.key").agg(F.count("*").alias("n"))
+    found = {r.i: (r.d, r.n) for r in long.groupBy("i").agg(F.count("*").alias("d"), F.sum("n").alias("n")).collect()}
+    return {c: found.get(i, (0, 0)) for i, c in enumerate(combos)}
+
+
+def _count_rows(df: DataFrame, combos: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
+    """Rows without a null part of each combination; no key moves, only patterns of nulls do."""
+    if not combos:
+        return {}
+    names = sorted({x for c in combos for x in c})
+    masks = df.groupBy(F.array(*(_cell(x).isNotNull() for x in names)).alias("there")).agg(F.count("*").alias("n"))
+    there = {x: F.col("there")[i] for i, x in enumerate(names)}
+    hits = F.array(*(F.when(F.forall(F.array(*(there[x] for x in c)), lambda x: x), i) for i, c in enumerate(combos)))
+    found = masks.select(F.explode(F.array_compact(hits)).alias("i"), "n").groupBy("i").agg(F.sum("n").alias("n"))
+    got = {r.i: r.n for r in found.collect()}
+    return {c: got.get(i, 0) for i, c in enumerate(combos)}
+
+
 def compound_stats(df: DataFrame, counts: DataFrame, max_size: int = 3, t: Thresholds = Thresholds()) -> DataFrame:
-    """Statistics of pairs and triples of gated columns, in one pass for all of them.
+    """Statistics of pairs and triples of gated columns; a combination counts rows without a null part.
 
-    The gate (distinct ratio, null ratio) reads one row a column from the driver. A combination counts
-    rows in which none of its columns is null.
+    What holds a part that is unique already (a column, then a pair) is unique itself, so only its rows
+    are counted and no key is made for it; the rest is one shuffle for each size. The driver reads a row
+    a column and a row a combination.
     """
     rows = counts.orderBy("ordinal").collect()
-    gated = [r for r in rows if r.total_count and r.distinct_count / r.total_count > t.compound_distinct_ratio and r.null_count / r.total_count < t.compound_null_ratio]
-    combos = [c for k in range(2, max_size + 1) for c in combinations(gated, k)]
-    if not combos:
-        empty = df.sparkSession.createDataFrame([], "columns array<string>, distinct_ratio double, null_ratio_sum double, score double, invalid_count long, ordinal int, estimated_duplicates long")
-        return empty
-    cell = lambda c: F.when(F.col(f"`{c}`").cast("string") != "", F.col(f"`{c}`").cast("string"))
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.array(*(cell(r.col) for r in c)).alias("key")) for i, c in enumerate(combos)))).alias("k"))
-    long = long.where(~F.exists("k.key", lambda x: x.isNull())).groupBy("k.i", "k.key").agg(F.count("*").alias("n"))
-    found = long.groupBy("i").agg(F.count("*").alias("distinct"), F.sum("n").alias("n"))
-    nulls = [sum(r.null_count / r.total_count for r in c) for c in combos]
-    table = df.sparkSession.createDataFrame([(i, [r.col for r in c], float(nulls[i]), c[0].total_count, c[0].ordinal) for i, c in enumerate(combos)], "i int, columns array<string>, null_ratio_sum double, total long, ordinal int")
-    ratio = F.col("distinct") / F.col("total")
-    return table.join(found, "i").select("columns", ratio.alias("distinct_ratio"), "null_ratio_sum", (ratio * F.greatest(F.lit(0.0), 1 - F.col("null_ratio_sum"))).alias("score"), (F.col("total") - F.col("n")).alias("invalid_count"), "ordinal", (F.col("n") - F.col("distinct")).alias("estimated_duplicates"))
+    gated = {r.col: r for r in rows if r.total_count and r.distinct_count / r.total_count > t.compound_distinct_ratio and r.null_count / r.total_count < t.compound_null_ratio}
+    unique = {frozenset([c]) for c, r in gated.items() if r.distinct_count == r.total_count - r.null_count}
+    found, sure = {}, []
+    for size in range(2, max_size + 1):
+        asked = []
+        for combo in combinations(gated, size):
+            whole = frozenset(combo)
+            if any(whole - {c} in unique for c in combo):
+                unique.add(whole)
+                sure.append(combo)
+            else:
+                asked.append(combo)
+        level = _count_keys(df, asked)
+        unique |= {frozenset(c) for c, (distinct, n) in level.items() if distinct == n}
+        found |= level
+    holes = {c: [gated[x].null_count for x in c if gated[x].null_count] for c in sure}
+    by_rows = _count_rows(df, [c for c in sure if len(holes[c]) > 1])
+    for c in sure:
+        n = by_rows[c] if c in by_rows else gated[c[0]].total_count - sum(holes[c])
+        found[c] = n, n
+    out = []
+    for size in range(2, max_size + 1):
+        for c in combinations(gated, size):
+            (distinct, n), total = found[c], gated[c[0]].total_count
+            if n:
+                nulls, ratio = sum(gated[x].null_count / total for x in c), distinct / total
+                out.append((list(c), ratio, float(nulls), ratio * max(0.0, 1 - nulls), total - n, gated[c[0]].ordinal, n - distinct))
+    return df.sparkSession.createDataFrame(out, COMPOUND)
 
 
 def accepted_compounds(stats: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

@@ -258,15 +258,21 @@ def q_totals(spark, sf_dir):
     return profile_table(table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")).totals
 
 
+def metrics_of(df: DataFrame) -> DataFrame:
+    """The columns of metrics.csv, with what is divided or summed rounded before it becomes text."""
+    rounded = {c: F.round(c, 6) for c in ("distinct_pct", "mean", "median", "stddev", "avg_length")}
+    return emit.metrics(profile_table(df).columns.withColumns(rounded))
+
+
 def q_profile(spark, sf_dir):
     """The whole profile of the orders mess, as metrics.csv has it."""
-    return emit.metrics(profile_table(mess(spark, sf_dir)).columns)
+    return metrics_of(mess(spark, sf_dir))
 
 
 def q_lineitem(spark, sf_dir):
     """The whole profile of the largest table: every column, every statistic."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("_row_id", F.monotonically_increasing_id())
-    return emit.metrics(profile_table(df).columns)
+    return metrics_of(df)
 
 
 def q_merged(spark, sf_dir):
@@ -283,8 +289,7 @@ QUERIES = {
 }
 
 FIRST = f"first AS (SELECT * FROM (SELECT col, ordinal, row_id, v, row_number() OVER (PARTITION BY col ORDER BY row_id) AS r FROM (SELECT *, {STRIP} AS v FROM long) WHERE v <> '') WHERE r <= 100)"
-INFERRED = f"""
-long AS ({MESS}), {FIRST},
+INFERRED_FROM_LONG = f"""{FIRST},
 classed AS (SELECT *, {CLASS} AS class, {FMT} AS fmt FROM first),
 fmts AS (SELECT col, arg_max(fmt, k * 1000000000 - seen) AS main, sum(k) - max(k) AS others FROM (SELECT col, fmt, count(*) AS k, min(row_id) AS seen FROM classed WHERE class = 'date' GROUP BY ALL) GROUP BY col),
 counts AS (SELECT col, CAST(count(*) AS DOUBLE) AS n, count_if(class = 'date') AS d, count_if(class = 'money') AS m, count_if(class = 'numeric') AS u, count_if(class = 'alpha') AS a,
@@ -301,6 +306,8 @@ types AS (SELECT col, type, CASE WHEN type = 'date' THEN main END AS detected_fo
   CAST(coalesce(CASE WHEN type = 'money' OR (type = 'mixed' AND NOT leaderless) THEN broken WHEN type = 'numeric' THEN symbols ELSE 0 END, 0) AS BIGINT) AS error_count,
   CAST(CASE WHEN type = 'date' THEN others ELSE 0 END AS BIGINT) AS warning_count,
   round(CASE WHEN n > 0 THEN coalesce(CASE type WHEN 'numeric' THEN as_num WHEN 'money' THEN as_money WHEN 'date' THEN d WHEN 'alpha' THEN as_alpha WHEN 'varchar' THEN as_text WHEN 'code' THEN as_text WHEN 'mixed' THEN floor(n * 0.6) ELSE 0 END, 0) / n ELSE 0 END, 9) AS confidence, CAST(coalesce(n, 0) AS BIGINT) AS sampled FROM typed)"""
+INFERRED = f"long AS ({MESS}), {INFERRED_FROM_LONG}"
+
 
 VOTES = """cells AS (SELECT col, ordinal, row_id, value AS v, CASE WHEN regexp_full_match(value, '[0-9]{8}') AND try_strptime(value, '%Y%m%d') IS NOT NULL THEN 'YYYYMMDD' WHEN regexp_full_match(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_strptime(value, '%Y-%m-%d') IS NOT NULL THEN 'YYYY-MM-DD' WHEN regexp_full_match(value, '[0-9]{2}/[0-9]{2}/[0-9]{4}') AND try_strptime(value, '%m/%d/%Y') IS NOT NULL THEN 'MM/DD/YYYY' END AS fmt FROM long),
 votes AS (SELECT col, fmt, count(*) AS k, min(row_id) AS seen FROM cells WHERE fmt IS NOT NULL GROUP BY ALL
@@ -312,6 +319,30 @@ LABELLED = f"flagged AS (SELECT col, ordinal, row_id, v, regexp_full_match(v, {M
 KEYS = long_sql("orders", "o_orderkey", {c: c for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")})
 KEYED = f"long AS ({KEYS}), s AS (SELECT col, ordinal, count(*) AS t, count(DISTINCT CASE WHEN value <> '' THEN value END) AS d, count_if(coalesce(value, '') = '') AS z FROM long GROUP BY ALL), k AS (SELECT col AS columns, ordinal, d / t AS distinct_ratio, d / t * (1 - z / t) AS score, t - z - d AS estimated_duplicates, 100.0 * d / (t - z) AS pct FROM s)"
 
+
+def metrics_sql(long: str) -> str:
+    """metrics.csv of a long form in SQL: types by the rules of inference, statistics by type."""
+    guarded = lambda x: f"CASE WHEN regexp_matches(CAST({x} AS VARCHAR), '^[=+\\-@]') THEN '''' ELSE '' END || CAST({x} AS VARCHAR)"
+    shown = {
+        "column_name": "col", "type": "kind", "null_count": "z", "distinct_count": "d", "distinct_pct": "round(CASE WHEN n_rows > z THEN 100.0 * (d / (n_rows - z)) ELSE 0.0 END, 6)",
+        "min_value": "CASE kind WHEN 'numeric' THEN x_min WHEN 'money' THEN m_min END", "max_value": "CASE kind WHEN 'numeric' THEN x_max WHEN 'money' THEN m_max END",
+        **{c: f"CASE WHEN kind = 'numeric' THEN round(x_{c}, 6) END" for c in ("mean", "median", "stddev")},
+        **{c: f"CASE WHEN kind IN ('alpha', 'varchar', 'code', 'mixed', 'unknown') THEN {c} END" for c in ("min_length", "max_length", "avg_length")},
+        **{f"top_value_{i}{part}": f"top_{i}{part}" for i in (1, 2, 3) for part in ("", "_count")},
+    }
+    tops = ", ".join(f"max(value) FILTER (rank = {i}) AS top_{i}, max(cnt) FILTER (rank = {i}) AS top_{i}_count" for i in (1, 2, 3))
+    chosen = ", ".join(f"coalesce({guarded(x)}, '') AS {name}" for name, x in shown.items())
+    return f"""WITH long AS ({long}), {INFERRED_FROM_LONG},
+cells AS (SELECT *, CASE WHEN s <> '' THEN s END AS v, CASE WHEN regexp_full_match(s, {NUM}) THEN CAST(s AS DOUBLE) END AS x, CASE WHEN regexp_full_match(s, {MON}) THEN CAST(s AS DOUBLE) END AS m FROM (SELECT *, {STRIP} AS s FROM long)),
+stats AS (SELECT col, count(*) AS n_rows, count_if(coalesce(value, '') = '') AS z, count(DISTINCT CASE WHEN value <> '' THEN s END) AS d, min(x) AS x_min, max(x) AS x_max, avg(x) AS x_mean, median(x) AS x_median, stddev_samp(x) AS x_stddev, min(m) AS m_min, max(m) AS m_max, min(length(v)) AS min_length, max(length(v)) AS max_length, round(avg(length(v)), 6) AS avg_length FROM cells GROUP BY col),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY cnt DESC, first_row) AS rank FROM ({FREQ}) WHERE value <> ''),
+tops AS (SELECT col, {tops} FROM ranked GROUP BY col)
+SELECT {chosen} FROM (SELECT *, coalesce(type, 'unknown') AS kind FROM (SELECT col, type FROM types) JOIN stats USING (col) LEFT JOIN tops USING (col))"""
+
+
+#: In the order of the file, as the query numbers its rows.
+LINES = long_sql("(SELECT *, row_number() OVER () AS rn FROM lineitem)", "rn", {c: c for c in ("l_orderkey", *DISTINCT_COLUMNS)})
+
 SQL = {
     "frequencies": f"WITH long AS ({long_sql('customer', 'c_custkey', WORDS)}) {FREQ}",
     "merged_frequencies": f"WITH long AS ({long_sql('customer', 'c_custkey', WORDS)}) {FREQ}",
@@ -357,5 +388,7 @@ SELECT doc_id, CAST(crlf AS BIGINT) AS crlf, CAST(lf AS BIGINT) AS lf, CAST(cr A
     "formula_guard": "SELECT c_custkey, CASE WHEN regexp_matches(s, '^[=+\\-@]') THEN '''' || s ELSE s END AS guarded, CASE WHEN c_acctbal < 0 THEN '''' ELSE '' END || CAST(c_acctbal AS VARCHAR) AS balance FROM (SELECT *, ['=', '+', '-', '@', '', ' '][c_custkey % 6 + 1] || c_name AS s FROM customer)",
     "scalar_kernels": f"WITH long AS ({AMOUNTS}) SELECT row_id AS o_orderkey, trim(v) = '' AS blank, regexp_full_match(v, {NUM}) AS num, regexp_full_match(v, {MON}) AS money, regexp_matches(v, '[$,()]') AS symbol, {CLEAN} AS bare, regexp_full_match({CLEAN}, {NUM}) AS num_like, regexp_matches(v, '[$,()]') AND regexp_full_match({CLEAN}, {NUM}) AND contains({CLEAN}, '.') AS money_like, regexp_full_match(v, '[0-9]+\\.([0-9]|[0-9]{{3,}})') AS odd, CAST(length(v) AS INT) AS chars FROM (SELECT row_id, value AS v FROM long)",
     "finite_numbers": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN c_acctbal END AS x FROM customer",
+    "profile_metrics": metrics_sql(MESS),
+    "lineitem_profile": metrics_sql(LINES),
     "file_totals": "SELECT count(*) AS total_rows, CAST(3 AS BIGINT) AS total_columns, CAST(0 AS BIGINT) AS total_nulls, count(DISTINCT c_name) + count(DISTINCT c_mktsegment) + count(DISTINCT c_nationkey) AS total_distinct FROM customer",
 }

@@ -176,3 +176,25 @@ def test_unexpected_failures_have_codes(spark, tmp_path):
     with pytest.raises(profile.RunFailed) as failed, profile.failing("E_PIPELINE_FAILED"):
         raise KeyError("x")
     assert failed.value.code == "E_PIPELINE_FAILED"
+
+
+def test_compound_keys_agree_with_counting_every_combination(spark):
+    from itertools import combinations
+
+    rng = random.Random(7)
+    hole = lambda x, share: None if rng.random() < share else x
+    rows = [(i, str(i), hole(f"u{i}", 0.05), hole(f"v{rng.randrange(900)}", 0.06), hole(rng.choice(["", f"w{rng.randrange(1200)}"]) if i % 20 == 0 else f"w{i % 380}", 0.02), f"x{i % 390}", str(i % 3)) for i in range(400)]
+    names = ["a", "b", "c", "d", "e", "f"]
+    df = spark.createDataFrame(rows, "_row_id long, " + ", ".join(f"{c} string" for c in names))
+    counts = distinct.distinct_counts(longform.frequencies(longform.to_long(df)))
+    gated = [r.col for r in counts.orderBy("ordinal").collect() if r.distinct_count / 400 > 0.7 and r.null_count / 400 < 0.1]
+    assert len(gated) >= 4
+    want = {}
+    for size in (2, 3):
+        for combo in combinations(gated, size):
+            at = [names.index(c) + 1 for c in combo]
+            kept = [tuple(r[i] for i in at) for r in rows if all(r[i] for i in at)]
+            want[combo] = (len(set(kept)) / 400, 400 - len(kept), len(kept) - len(set(kept)))
+    got = {tuple(r.columns): (r.distinct_ratio, r.invalid_count, r.estimated_duplicates) for r in keys.compound_stats(df, counts).collect()}
+    assert got == want
+    assert keys.compound_stats(df.limit(0), distinct.distinct_counts(longform.frequencies(longform.to_long(df.limit(0))))).count() == 0
