@@ -1,22 +1,25 @@
 """Delimited text to rows of strings with error codes.
 
 Unquoted files split by lines inside the JVM and at any size. Quoted fields may hold line ends, so a
-quoted file is parsed as one stream, in one task for each file; files that are known to be clean can
-take Spark's own reader instead.
+quoted file is parsed as one stream of pieces, in one task for each file and at any size; files that are
+known to be clean can take Spark's own reader instead.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import itertools
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytes import files, lines, to_lf
 from .dialect import SAMPLE_BYTES, detect_delimiter, detect_quoting, head
+from .pieces import DAMAGED, streamed
 
 ROWS = "_row_id long, fields array<string>, error_code string, message string"
 
@@ -44,9 +47,33 @@ def fit_row(fields: list[str], width: int, quoted: bool) -> tuple[list[str], str
     return fields, "E_UNQUOTED_DELIM" if quoted and len(fields) == width + 1 else "E_JAGGED_ROW"
 
 
-def parse_quoted(text: str, delimiter: str, width: int):
+def text_lines(pieces: Iterator[bytes]) -> Iterator[str]:
+    """The lines of a file's pieces with their line feeds, without a byte order mark; LF, CRLF and CR
+    end a line, bytes that are not UTF-8 are replaced."""
+    decoder = io.IncrementalNewlineDecoder(codecs.getincrementaldecoder("utf-8")("replace"), translate=True)
+    held: list[str] = []
+    begun = False
+
+    def decoded():
+        for piece in pieces:
+            yield decoder.decode(piece)
+        yield decoder.decode(b"", final=True)
+
+    for text in decoded():
+        if text and not begun:
+            text, begun = text.removeprefix("\ufeff"), True
+        first, *rest = text.split("\n")
+        held.append(first)
+        for line in rest:
+            yield "".join([*held, "\n"])
+            held = [line]
+    if last := "".join(held):
+        yield last
+
+
+def parse_quoted(lines: Iterable[str], delimiter: str, width: int):
     """(number, fields, code, message) of each data row; blank lines have the code BLANK."""
-    reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, strict=True)
+    reader = csv.reader(lines, delimiter=delimiter, strict=True)
     number = 0
     try:
         next(reader, None)
@@ -68,23 +95,31 @@ def parse_quoted(text: str, delimiter: str, width: int):
         yield number, fields, code, f"expected {width} fields, found {len(fields)}" if code else None
 
 
-def parsed_rows(spark: SparkSession, path: str, delimiter: str, quoted: bool, width: int) -> DataFrame:
+def parsed_rows(spark: SparkSession, path: str, delimiter: str, quoted: bool, width: int, **settings) -> DataFrame:
     """Every data row with its 1-based number, fields and error code.
 
-    Every file of a folder has a header of its own; rows are numbered on over all files.
+    Every file of a folder has a header of its own; rows are numbered on over all files. ``settings``:
+    those of ``streamed``, which reads quoted files.
     """
     if quoted:
-        def run(batches):
-            for frame in batches:
-                for name, raw in zip(frame["path"], frame["content"]):
-                    if raw is None:
-                        continue
-                    text = bytes(raw).decode("utf-8", "replace").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
-                    rows = parse_quoted(text, delimiter, width)
-                    while part := list(itertools.islice(rows, 10_000)):
-                        yield pd.DataFrame([(name, *row) for row in part], columns=["path", "_row_id", "fields", "error_code", "message"])
-
-        rows = files(spark, path).select("path", "content").mapInPandas(run, f"path string, {ROWS}")
+        def run(name, pieces):
+            rows, damaged = parse_quoted(text_lines(pieces), delimiter, width), False
+            number = 0
+            while not damaged:
+                part = []
+                try:
+                    for row in itertools.islice(rows, 10_000):
+                        part.append(row)
+                except DAMAGED as bad:  # packed bytes that end early: what came before stands
+                    part.append(((part[-1][0] if part else number) + 1, None, "E_GZIP_DECOMPRESS", str(bad)))
+                    damaged = True
+                if not part:
+                    return
+                number = part[-1][0]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), *(pa.array(x, kind) for x, kind in zip(zip(*part), kinds))], ["path", "_row_id", "fields", "error_code", "message"])
+
+        kinds = [pa.int64(), pa.list_(pa.string()), pa.string(), pa.string()]
+        rows = streamed(spark, path, run, f"path string, {ROWS}", **settings)
         sizes = rows.groupBy("path").agg(F.max("_row_id").alias("n"))  # a row a file
         before = sizes.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("before"))
         return rows.join(F.broadcast(before), "path").select((F.col("_row_id") + F.col("before")).alias("_row_id"), "fields", "error_code", "message")

@@ -160,3 +160,66 @@ def test_stream_and_merge(spark, tmp_path):
     assert {r.value: r.cnt for r in spark.table("freqs").collect()} == {"0": 7, "1": 7, "2": 6}
     parts = [frequencies(to_long(df.where(F.col("_row_id") % 2 == i))) for i in range(2)]
     assert sorted(map(tuple, incremental.merge_frequencies(*parts).collect())) == sorted(map(tuple, frequencies(to_long(df)).collect()))
+
+
+def test_large_files_are_read_in_pieces_alike(spark, tmp_path):
+    """Split over tasks and joined in order: reports and quoted rows are those of files read whole."""
+    import hashlib
+
+    put(tmp_path, "empty", b"")  # a file without bytes has no row
+
+    quoted = "id,name\n" + "".join(f'{i},"n{i}\nsecond, é line"\n' if i % 3 else f"{i},plain\r\n" for i in range(400))
+    contents = {
+        "mark.csv": b"\xef\xbb\xbf" + quoted.encode(), "mark open.csv": b"\xef\xbb\xbf" + quoted.encode().rstrip(), "a+b%20.csv": quoted.encode(), "open.csv": quoted.encode() + b'500,"never closed\r',
+        "bad.csv": quoted.encode() + b"9,\xe2\x82\n" + quoted.encode(), "end.csv": quoted.encode() + b"9,\xe2\x82", "one": b"x", "feeds": b"\n\n", "cr.csv": b"id,name\r" + b"1,a\r" * 100,
+    }
+    for name, data in contents.items():
+        put(tmp_path, name, data)
+    put(tmp_path, "packed.csv.gz", gzip.compress(quoted.encode()))
+    put(tmp_path, "packed by mark", gzip.compress(quoted.encode()))
+    contents |= {"packed.csv.gz": quoted.encode(), "packed by mark": quoted.encode()}
+    splits = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "0"}
+    before = {c: spark.conf.get(c) for c in splits}
+    name = lambda p: p.rpartition("/")[2]
+    try:
+        for c, v in splits.items():
+            spark.conf.set(c, v)
+        for settings in ({}, {"quote_aware": True}, {"census_bytes": 300}):
+            whole = {name(r.path): r for r in raw.file_report(spark, str(tmp_path), **settings).collect()}
+            pieces = {name(r.path): r for r in raw.file_report(spark, str(tmp_path), whole=0, size=37, **settings).collect()}
+            assert whole == pieces and set(whole) == set(contents)
+        whole, pieces = (sorted((tuple(r.fields or ()), str(r.error_code), str(r.message)) for r in delimited.parsed_rows(spark, str(tmp_path), ",", True, 2, **settings).collect()) for settings in ({}, {"whole": 0, "size": 37}))
+        assert whole == pieces and len(whole) > 3000
+        one = {r._row_id: r.fields for r in delimited.parsed_rows(spark, str(tmp_path / "mark.csv"), ",", True, 2, whole=0, size=37).collect()}
+        assert one == {i + 1: [str(i), f"n{i}\nsecond, é line" if i % 3 else "plain"] for i in range(400)}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    reports = {name(r.path): r for r in raw.file_report(spark, str(tmp_path)).collect()}
+    for k, data in contents.items():
+        r = reports[k]
+        assert (r.n_bytes, r.sha256, r.bom) == (len(data), hashlib.sha256(data).hexdigest(), data.startswith(b"\xef\xbb\xbf")), k
+        crlf = data.count(b"\r\n")
+        assert (r.endings.crlf, r.endings.lf, r.endings.cr) == (crlf, data.count(b"\n") - crlf, data.count(b"\r") - crlf), k
+        try:
+            data.decode()
+            assert r.is_valid, k
+        except UnicodeDecodeError as bad:
+            assert (r.is_valid, r.offset, r.reason) == (False, bad.start, bad.reason), k
+
+
+def test_line_ends_outside_quotes_in_any_pieces():
+    import random
+    import re
+
+    rng = random.Random(3)
+    for _ in range(500):
+        text = bytes(rng.choice(b'a"\r\n') for _ in range(rng.randrange(30)))
+        bare = re.sub(rb'"(?:[^"]|"")*"', b"", text)
+        ends, at = raw.LineEndsOutsideQuotes(), 0
+        while at < len(text):
+            step = rng.randrange(1, 6)
+            ends.add(text[at:at + step])
+            at += step
+        crlf = bare.count(b"\r\n")
+        assert ends.end() == (crlf, bare.count(b"\n") - crlf, bare.count(b"\r") - crlf), text
