@@ -71,15 +71,19 @@ def _count_rows(df: DataFrame, combos: list[tuple[str, ...]]) -> dict[tuple[str,
     return {c: got.get(i, 0) for i, c in enumerate(combos)}
 
 
-def compound_stats(df: DataFrame, counts: DataFrame, max_size: int = 3, t: Thresholds = Thresholds()) -> DataFrame:
+def compound_stats(df: DataFrame, counts: DataFrame, max_size: int = 3, t: Thresholds = Thresholds(), columns: list[str] | None = None) -> DataFrame:
     """Statistics of pairs and triples of gated columns; a combination counts rows without a null part.
 
+    ``columns`` names the columns to combine; without it they are those with enough distinct and few null values.
     What holds a part that is unique already (a column, then a pair) is unique itself, so only its rows
     are counted and no key is made for it; the rest is one shuffle for each size. The driver reads a row
     a column and a row a combination.
     """
     rows = counts.orderBy("ordinal").collect()
-    gated = {r.col: r for r in rows if r.total_count and r.distinct_count / r.total_count > t.compound_distinct_ratio and r.null_count / r.total_count < t.compound_null_ratio}
+    if columns is not None:
+        check_columns(df, columns)
+    wanted = lambda r: r.col in columns if columns is not None else r.distinct_count / r.total_count > t.compound_distinct_ratio and r.null_count / r.total_count < t.compound_null_ratio
+    gated = {r.col: r for r in rows if r.total_count and wanted(r)}
     unique = {frozenset([c]) for c, r in gated.items() if r.distinct_count == r.total_count - r.null_count}
     found, sure = {}, []
     for size in range(2, max_size + 1):
