@@ -121,9 +121,22 @@ def money_verdict(v: Column) -> Column:
     )
 
 
+def float_text(x: Column) -> Column:
+    """A double (or float) as Python and SQL show it: plain from 1e-4 up to 1e16, else as 5.6e-05, where
+    the JVM writes 5.6E-5 and 1.0E7. A value of another type is its plain text. The digits are the JVM's:
+    before Java 19 it may give one more than needed from 1e16 on, and to denormal numbers."""
+    text = x.cast("string")
+    plain = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(\.0)?E", "e"), r"e(\d)", r"e+$1"), r"e([+-])(\d)$", r"e$10$2")
+    shown = F.when(text.rlike(r"E(-4|\d|1[0-5])$"), plain).otherwise(power)
+    special = F.regexp_replace(F.lower(text), "inity", "")
+    float_like = F.typeof(x).isin("double", "float")  # constant, so that other types keep their text
+    return F.when(float_like & text.contains("E"), shown).when(float_like & (text.endswith("N") | text.endswith("y")), special).otherwise(text)
+
+
 def guard_formula(v: Column) -> Column:
     """A leading = + - or @ gets an apostrophe, so that a spreadsheet reads text; null is empty."""
-    text = F.coalesce(v.cast("string"), F.lit(""))
+    text = F.coalesce(float_text(v), F.lit(""))
     return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import strip
+from ..functions.kernels import float_text, strip
 
 ROW_ID = "_row_id"
 
@@ -16,10 +16,11 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def to_long(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(col, ordinal, _row_id, value): a row for each cell, values as strings."""
+    """(col, ordinal, _row_id, value): a row for each cell, values as strings; of doubles, plain ones."""
     columns = columns or [c for c in df.columns if c != ROW_ID]
     rows = with_row_id(df)
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.lit(i).alias("ordinal"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns))))
+    text = lambda c: float_text(F.col(f"`{c}`")) if df.schema[c].dataType.typeName() in ("double", "float") else F.col(f"`{c}`").cast("string")
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.lit(i).alias("ordinal"), text(c).alias("value")) for i, c in enumerate(columns))))
     return rows.select(ROW_ID, cells.alias("cell")).select("cell.col", "cell.ordinal", ROW_ID, "cell.value")
 
 

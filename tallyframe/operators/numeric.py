@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import is_numeric, strip
+from ..functions.kernels import float_text, is_numeric, strip
 from .longform import frequencies
 
 #: The quantiles reported.
@@ -83,12 +83,6 @@ def exact_quantiles(freq: DataFrame, wanted: dict[str, float] | None = None, ran
     return both.select("col", "name", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("quantile"))
 
 
-def float_text(x: Column) -> Column:
-    """A double as Python shows it."""
-    plain = (x == F.floor(x)) & (F.abs(x) < 1e16)
-    return F.when(plain, F.concat(x.cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
-
-
 def histogram(freq: DataFrame, bins: int = BINS) -> DataFrame:
     """(col, bin, cnt): equal widths, the last bin closed, empty bins left out; equal labels merge."""
     x = typed(freq).where("x is not null").select("col", "x", "cnt")

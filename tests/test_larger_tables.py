@@ -1,8 +1,13 @@
 """Queries agree with their SQL on what larger tables hold."""
 
-from tallyframe.queries import QUERIES, SQL
+import datetime
+import math
 
 import duckdb
+from pyspark.sql import functions as F
+from tallyframe.functions import kernels as k
+from tallyframe.queries import QUERIES, SQL
+
 from duck import plain, rows_of
 
 
@@ -28,3 +33,28 @@ def customers(spark, folder, balances):
 def test_compound_keys_with_few_distinct_balances(spark, tmp_path):
     customers(spark, tmp_path, [i % 5 for i in range(20)])
     agrees(spark, tmp_path, "compound_keys", "customer")
+
+
+def orders(spark, folder, prices):
+    rows = [(i, i % 7, "F", float(p), datetime.datetime(1995, 1, 1 + i % 28), "1-URGENT") for i, p in enumerate(prices)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+
+
+def test_float_text_is_that_of_python(spark):
+    numbers = [0.0, -0.0, 1.0, 0.001, 3.33e-4, 1e-4, -1.2345e-4, 5.6e-5, 9.999999e6, 1e7, 12345678.9, -1.5e10, 123456789012345.6, 1e15, 1e16, 1e22, -1.5e300, 1.2e-7, 4e-100, math.nan, math.inf, -math.inf]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", k.float_text(F.col("x")).alias("s"), k.float_text((F.col("x") > 1).cast("string")).alias("other")).collect()
+    assert [r.s for r in got] == [repr(r.x) for r in got]
+    assert {r.other for r in got} == {"true", "false"}
+
+
+def test_metrics_of_small_shares(spark, tmp_path):
+    orders(spark, tmp_path, [100 + i / 4 for i in range(3000)])
+    agrees(spark, tmp_path, "profile_metrics", "orders")
+
+
+def test_large_doubles_are_numbers(spark, tmp_path):
+    """Prices of ten million and more, written plainly, count as numbers."""
+    orders(spark, tmp_path, [1e7 + i for i in range(40)])
+    agrees(spark, tmp_path, "top_values", "orders")
+    agrees(spark, tmp_path, "exact_quantiles", "orders")
+    assert QUERIES["histogram"](spark, str(tmp_path)).where("col = 'o_totalprice'").count() == 10
