@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import float_text, strip
@@ -15,6 +15,19 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
+def in_file_order(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet file or folder with its rows numbered as they stand: files by name, then rows.
+
+    Spark reads the largest files of a folder first, so numbers by partition are not in that order.
+    """
+    from pyspark.sql import Window
+
+    df = spark.read.parquet(path)
+    rows = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
+    files = rows.select("__path").distinct().withColumn("__file", F.row_number().over(Window.orderBy("__path")).cast("long"))  # a row a file
+    return rows.join(F.broadcast(files), "__path").select(*(F.col(f"`{c}`") for c in df.columns), (F.shiftleft("__file", 40) + F.col("__at")).alias(ROW_ID))
+
+
 def to_long(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(col, ordinal, _row_id, value): a row for each cell, values as strings; of doubles, plain ones."""
     columns = columns or [c for c in df.columns if c != ROW_ID]

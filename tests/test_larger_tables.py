@@ -2,10 +2,12 @@
 
 import datetime
 import math
+import os
 
 import duckdb
 from pyspark.sql import functions as F
 from tallyframe.functions import kernels as k
+from tallyframe.operators import longform
 from tallyframe.queries import QUERIES, SQL
 
 from duck import plain, rows_of
@@ -58,3 +60,17 @@ def test_large_doubles_are_numbers(spark, tmp_path):
     agrees(spark, tmp_path, "top_values", "orders")
     agrees(spark, tmp_path, "exact_quantiles", "orders")
     assert QUERIES["histogram"](spark, str(tmp_path)).where("col = 'o_totalprice'").count() == 10
+
+
+def test_rows_of_a_folder_count_by_file_name(spark, tmp_path):
+    """The second file is the larger one, so Spark reads it first."""
+    parts = [range(3), range(100, 3100), range(50, 55)]
+    for i, ids in enumerate(parts):
+        spark.createDataFrame([(x,) for x in ids], "x long").coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        os.makedirs(tmp_path / "t.parquet", exist_ok=True)
+        part = next(f for f in os.listdir(tmp_path / str(i)) if f.endswith(".parquet"))
+        os.rename(tmp_path / str(i) / part, tmp_path / "t.parquet" / f"part-{i}.parquet")
+    got = longform.in_file_order(spark, f"{tmp_path}/t.parquet")
+    assert [r.x for r in got.orderBy("_row_id").collect()] == [x for ids in parts for x in ids]
+    top = longform.top_values(longform.frequencies(longform.to_long(got)), 4)
+    assert [r.value for r in top.orderBy("rank").collect()] == ["0", "1", "2", "100"]
