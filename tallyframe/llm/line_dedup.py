@@ -8,19 +8,33 @@ lines that agree with no other line on such a frame are left out.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, UNBASE, buffers, each_text, mix, partitions, powers, stage, steps
+from .common import BASE, UNBASE, buffers, each_text, mix, partitions, powers, released, small_batches, stage, steps
 
 SEGMENTS = 4
+#: Lines whose frames a task holds before it deals them out.
+HELD_LINES = 1 << 16
 FRAME = np.dtype([("frame", "u8"), ("h1", "i8"), ("h2", "i8")])
 
 
+@lru_cache(4)
+def _table(salt: int) -> np.ndarray:
+    return mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(salt))
+
+
 def _mixed(chars: np.ndarray, salt: int) -> np.ndarray:
-    return mix(chars.astype(np.uint64) + np.uint64(salt))
+    """Each character mixed with the salt: looked up, but for those past the table."""
+    out = _table(salt)[np.minimum(chars, np.uint32(0xFFFF))]
+    far = np.flatnonzero(chars > 0xFFFF)
+    if len(far):
+        out[far] = mix(chars[far].astype(np.uint64) + np.uint64(salt))
+    return out
 
 
 def _running(values: np.ndarray) -> np.ndarray:
@@ -29,9 +43,6 @@ def _running(values: np.ndarray) -> np.ndarray:
     return out
 
 
-_blank = np.array([32, 9, 11, 12, 13], np.uint32)
-
-
 def char_lines(array):
     """For runs of rows: (sums, start, stop, row, number, h1, h2) of the lines that are not blank.
 
@@ -50,7 +61,8 @@ def char_lines(array):
         row = np.searchsorted(ends, start, "right")
         opens = np.flatnonzero(np.diff(row, prepend=-1))
         number = np.arange(len(start)) - np.repeat(opens, np.diff(np.append(opens, len(start))))
-        seen = np.concatenate([[0], np.cumsum(~np.isin(chars, _blank))])
+        seen = np.zeros(len(chars) + 1, np.int64)  # blanks are space and 9 to 13; a line holds no 10
+        np.cumsum((chars != 32) & (chars - np.uint32(9) > 4), out=seen[1:])
         full = seen[stop] > seen[start]
         start, stop, row, number = start[full], stop[full], row[full], number[full]
         sums, back = _running(_mixed(chars, 1)), powers(UNBASE, len(chars))
@@ -84,23 +96,32 @@ def _frames(sums: np.ndarray, start: np.ndarray, stop: np.ndarray):
 
 
 def _framed(buckets: int):
+    def dealt(made):
+        h1, h2, frames = (np.concatenate(x) for x in zip(*made))
+        _, at = np.unique(h1, return_index=True)  # equal names go once
+        rows = np.empty((len(at), 2 * SEGMENTS), FRAME)
+        rows["frame"], rows["h1"], rows["h2"] = frames[at], h1[at, None], h2[at, None]
+        rows = rows.ravel()
+        where = (rows["frame"] % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(where.astype(np.uint16) if buckets <= 1 << 16 else where, kind="stable")
+        rows, where = rows[order], where[order]
+        first = np.flatnonzero(np.diff(where, prepend=-1))
+        return pa.RecordBatch.from_arrays([pa.array(where[first], pa.int32()), pa.array([x.tobytes() for x in np.split(rows, first[1:])], pa.binary())], ["bucket", "rows"])
+
     def run(batches):
+        made, held = [], 0
         for batch in batches:
-            made = []
             for sums, start, stop, _, _, h1, h2 in char_lines(batch.column("text")):
-                _, at = np.unique(h1, return_index=True)  # equal names go once
-                for frame in _frames(sums, start[at], stop[at]):
-                    rows = np.empty(len(at), FRAME)
-                    rows["frame"], rows["h1"], rows["h2"] = frame, h1[at], h2[at]
-                    made.append(rows)
-            if made:
-                rows = np.unique(np.concatenate(made))
-                where = (rows["frame"] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                rows, where = rows[order], where[order]
-                first = np.flatnonzero(np.diff(where, prepend=-1))
-                if len(first):
-                    yield pa.RecordBatch.from_arrays([pa.array(where[first], pa.int32()), pa.array([x.tobytes() for x in np.split(rows, first[1:])], pa.binary())], ["bucket", "rows"])
+                _, at = np.unique(h1, return_index=True)
+                if not len(at):
+                    continue
+                made.append((h1[at], h2[at], np.stack(list(_frames(sums, start[at], stop[at])), axis=1)))
+                held += len(at)
+                if held >= HELD_LINES:
+                    yield dealt(made)
+                    made, held = [], 0
+        if made:
+            yield dealt(made)
 
     return run
 
@@ -186,15 +207,16 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Blank lines stay and are not counted. A null text has no lines. Rows
     that repeat an id and a text keep one copy of each line. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     top = (1 << 63) - 1
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(top)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
-    lines = stage(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_split, "row long, id long, line long, h1 long, h2 long"), "lines")
+    lines = stage(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(released(_split), "row long, id long, line long, h1 long, h2 long"), "lines")
     firsts = stage(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "row")).alias("first")), "firsts")
-    paired = rows.select("text").mapInArrow(_framed(4 * n), "bucket int, rows binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_partnered, "h1 long, h2 long").distinct()
+    paired = rows.select("text").mapInArrow(released(_framed(4 * n)), "bucket int, rows binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_partnered), "h1 long, h2 long").distinct()
     wanted = firsts.join(paired, ["h1", "h2"]).groupBy("first.id").agg(F.collect_list(F.struct("h1", "h2", F.col("first.line").alias("line"))).alias("lines"))
-    bodies = stage(rows.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "lines").mapInArrow(_fetch, "h1 long, h2 long, id long, line long, body string").dropDuplicates(["h1", "h2"]), "bodies")
-    made = stage(bodies.mapInArrow(_variants, "variant long, place int, h1 long, h2 long, id long, line long"), "variants")
+    bodies = stage(rows.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "lines").mapInArrow(released(_fetch), "h1 long, h2 long, id long, line long, body string").dropDuplicates(["h1", "h2"]), "bodies")
+    made = stage(bodies.mapInArrow(released(_variants), "variant long, place int, h1 long, h2 long, id long, line long"), "variants")
     who = F.struct("id", "line", "h1", "h2")
     # the same place deleted: all are one substitution apart, so the earliest answers for each
     swapped = made.where("place >= 0").groupBy("variant", "place").agg(F.min(who).alias("early"), F.count("*").alias("n")).where("n > 1")
@@ -207,7 +229,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.union(pair(made.where("place >= 0").select("variant", "place", who.alias("late")).join(swapped, ["variant", "place"]).where("early < late"), "late", "early")).distinct()
     texts = bodies.select("h1", "h2", "body")
     proven = pairs.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("body").alias("other")), ["e1", "e2"])
-    near = proven.select("h1", "h2", "body", "other").mapInArrow(_true_pairs, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
+    near = proven.select("h1", "h2", "body", "other").mapInArrow(released(_true_pairs), "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
     fate = firsts.join(near, ["h1", "h2"], "left")
     judged = lines.join(fate, ["h1", "h2"]).withColumn("exact", F.struct("id", "line", "row") != F.col("first"))
     drop = F.col("exact") | F.coalesce("near", F.lit(False))

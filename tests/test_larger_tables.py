@@ -5,8 +5,11 @@ import math
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tallyframe.functions import kernels as k
+from tallyframe.llm import line_dedup
 from tallyframe.operators import longform
 from tallyframe.queries import QUERIES, SQL
 
@@ -79,3 +82,12 @@ def test_rows_of_a_folder_count_by_file_name(spark, tmp_path):
 def test_formula_guard_of_rare_balances(spark, tmp_path):
     customers(spark, tmp_path, [-0.0, 0.0, -0.01, 12345678.9, -1e7, 0.00025, math.inf, -math.inf, math.nan])
     agrees(spark, tmp_path, "formula_guard", "customer")
+
+
+def test_frames_are_dealt_once_for_a_line_over_batches():
+    """A common line's frames leave a task once, not once a batch, and all of its parts' frames are there."""
+    batches = [pa.RecordBatch.from_arrays([pa.array(["the same line\nand \U0001f600 another"] * 5)], ["text"]) for _ in range(4)]
+    out = list(line_dedup._framed(8)(iter(batches)))
+    rows = np.concatenate([np.frombuffer(x.as_buffer(), line_dedup.FRAME) for b in out for x in b.column("rows")])
+    assert len(rows) == len(np.unique(rows)) == 2 * 2 * line_dedup.SEGMENTS
+    assert all((np.frombuffer(x.as_buffer(), line_dedup.FRAME)["frame"] % 8 == k).all() for b in out for k, x in zip(b.column("bucket").to_pylist(), b.column("rows")))
