@@ -25,6 +25,8 @@ _lower = np.frombuffer(LOWER, np.uint8)
 ROWS, MISSED = 6, 2e-6
 #: Members of a bucket that meet at a time.
 BLOCK = 1024
+#: Shingles signed at a time (or those of one set); each has a permutation of bands * rows places.
+SIGNED = 25_000
 
 
 def shingle_sets(array, width: int):
@@ -110,7 +112,7 @@ def _signed(width: int, bands: int, rows: int):
             for _, s in shingle_sets(batch.column("text"), width):
                 held.append(s)
                 total += len(s)
-                if total > 100_000:
+                if total > SIGNED:
                     flush()
                     total = 0
             flush()

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,24 @@ def test_signatures_estimate_similarity():
     assert len(set(sign[3].tolist())) == 168  # a small set still fills every place
 
 
+def test_signing_holds_few_permutations():
+    """Many texts in a batch, none of which stops early: memory follows the shingles signed at a time."""
+    rng = random.Random(3)
+    texts = [" ".join(f"v{rng.randrange(5000)}" for _ in range(150)) for _ in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    run = minhash._signed(5, 44, 6)
+    whole = pa.Table.from_batches(run([batch]))
+    tracemalloc.start()
+    apart = pa.Table.from_batches(run(batch.slice(i, 7) for i in range(0, len(texts), 7)))
+    few = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    list(run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole.to_pylist() == apart.to_pylist()
+    assert peak < 60e6, (few, peak)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (200, 100)], "a long, b long").repartition(5)
     got = {r.id: r.comp for r in components(edges).collect()}
