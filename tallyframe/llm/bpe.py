@@ -8,10 +8,9 @@ that token for each prefix gives appends without re-encoding, and edits that red
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
-import re
 import uuid
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +18,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUES, buffers, each_text, powers, released, steps
+from .common import BASE, BYTE_VALUES, buffers, powers, released, steps
 
-#: Distinct pieces in each of the two generations that a worker remembers, and pairs of tokens.
-CACHE_PIECES = 60_000
+#: Distinct pieces and their ids that a worker remembers before it begins anew, pairs of tokens, slots for pairs.
+CACHE_PIECES = 250_000
+CACHE_IDS = 4_000_000
 CACHE_PAIRS = 500_000
-#: For texts in these alphabets the common pattern is also one of the faster stdlib engine.
-LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af"
+PAIR_SLOTS = 1 << 20
+#: Tokens that are joined at once.
+JOINED = 1 << 16
+#: Bytes of pieces in one table of the prefix programme; a longer piece has a table of its own.
+TABLE_BYTES = 1 << 18
+#: The pattern whose matches follow from the classes of neighbouring characters.
 COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SIMPLE_TEXT = re.compile("[\t-\r -~\xa1\xa3-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
-SIMPLE_PATTERN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
+OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -215,6 +218,8 @@ class BatchEncoder:
         self.ends = HashTable(hashes, values)
         whole = np.array([t + 1 if t >= 0 else 0 for t in encoder.ends.values()], np.int32)
         self.whole = HashTable(hashes[whole > 0], whole[whole > 0] - 1)
+        #: Pairs of tokens, doubled, and one if they fit; made in the worker.
+        self.pairs: np.ndarray | None = None
 
     def hashes(self, texts: list[bytes]) -> np.ndarray:
         """Of each text: its byte values times powers that count from the end."""
@@ -225,7 +230,22 @@ class BatchEncoder:
         return np.add.reduceat(BYTE_VALUES[data] * self.power[place], stops - sizes) if len(texts) else np.zeros(0, np.uint64)
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """As PrefixEncoder.fits, for pairs."""
+        """As PrefixEncoder.fits, for pairs; a pair's answer stays in its slot until another takes it."""
+        if self.pairs is None:
+            self.pairs = np.full(PAIR_SLOTS, -1, np.int64)
+        key = left.astype(np.int64) << 31 | right
+        slot = ((key * 0x9E3779B97F4A7C1) >> 24) & (PAIR_SLOTS - 1)
+        held = self.pairs[slot]
+        new = np.flatnonzero(held >> 1 != key)
+        if len(new):
+            some, first, of = np.unique(key[new], return_index=True, return_inverse=True)
+            ok = self.stay(left[new[first]], right[new[first]])
+            held[new] = (some << 1 | ok)[of]
+            self.pairs[slot[new]] = held[new]
+        return (held & 1).astype(bool)
+
+    def stay(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What ``fits`` remembers."""
         ok, at = np.ones(len(left), bool), np.arange(len(left))
         i = j = np.zeros(len(left), np.int64)
         while len(at):
@@ -241,42 +261,63 @@ class BatchEncoder:
             at, i, j = at[more], (i + grow)[more], (j + ~grow)[more]
         return ok
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of pieces that are not tokens themselves."""
-        if not pieces:
-            return []
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        width = int(sizes.max())
-        text = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in pieces]), np.uint8).reshape(len(pieces), width)
-        values = BYTE_VALUES[text]
-        last = np.full((len(pieces), width), -1, np.int32)
+    def encode(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of ids) of pieces of ``data`` that are not tokens themselves."""
+        order = np.argsort(size, kind="stable")
+        sizes, counts, parts, i = size[order], np.zeros(len(size), np.int64), [], 0
+        while i < len(order):  # pieces of like length share a table, so that a long one doesn't widen it for all
+            most = 2 * int(sizes[i])
+            j = max(i + 1, min(i + TABLE_BYTES // most, int(np.searchsorted(sizes, most, "right"))))
+            rows = order[i:j][::-1]
+            ids, counts[rows] = self.table(data, start[rows], size[rows])
+            parts.append((rows, ids))
+            i = j
+        first = np.cumsum(counts) - counts
+        flat = np.zeros(int(counts.sum()), np.int32)
+        for rows, ids in parts:
+            flat[runs(first[rows], counts[rows])] = ids
+        return flat, counts
+
+    def table(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, for pieces from the longest to the shortest; a row an end, a column a piece."""
+        width, n = int(size[0]), len(size)
+        values = BYTE_VALUES[data[np.minimum(start + np.arange(width)[:, None], len(data) - 1)]]
+        last = np.full((width, n), -1, np.int32)
+        reach = np.searchsorted(-size, -np.arange(1, width + 1), "right").tolist()
         for end in range(1, width + 1):
-            at = np.flatnonzero(sizes >= end)
-            hashed = np.zeros(len(at), np.uint64)
+            at, hashed = None, values[end - 1, :reach[end - 1]]
             for begin in range(end - 1, -1, -1):
-                hashed += values[at, begin] * self.power[end - 1 - begin] if end - 1 - begin < len(self.power) else 0
+                if at is not None:
+                    shift = end - 1 - begin
+                    hashed = hashed + values[begin][at] * self.power[shift] if shift < len(self.power) else hashed
                 found = self.ends.get(hashed)
-                token = found - 1
-                good = found > 0
-                if begin:
-                    pair = np.flatnonzero(good)
-                    good[pair] = self.fits(last[at[pair], begin - 1], token[pair])
-                last[at[good], end - 1] = token[good]
-                more = ~good & (found >= 0)
+                if at is None:
+                    at = np.arange(len(hashed))
+                good = np.flatnonzero(found > 0)
+                token = found[good] - 1
+                if begin and len(good):
+                    fit = self.fits(last[begin - 1][at[good]], token)
+                    good, token = good[fit], token[fit]
+                last[end - 1, at[good]] = token
+                more = found >= 0
+                more[good] = False
                 at, hashed = at[more], hashed[more]
                 if not len(at):
                     break
-        if (last[np.arange(len(pieces)), sizes - 1] < 0).any():
+        if (last[size - 1, np.arange(n)] < 0).any():
             raise ValueError("no token ends a prefix")
-        columns, left = [], sizes.copy()
-        while (left > 0).any():
-            token = np.where(left > 0, last[np.arange(len(pieces)), left - 1], -1)
-            columns.append(token)
-            left -= np.where(token < 0, 0, self.size[token])
-        ids = np.stack(columns[::-1], 1)
-        flat, counts = ids[ids >= 0].tolist(), (ids >= 0).sum(1)
-        ends = np.cumsum(counts).tolist()
-        return [flat[i:j] for i, j in zip([0, *ends], ends)]
+        places, tokens, left, at = [], [], size.copy(), np.arange(n)
+        while len(at):  # each piece is read from its end; all that is read at once is as far from there
+            token = last[left[at] - 1, at]
+            places.append(at)
+            tokens.append(token)
+            left[at] -= self.size[token]
+            at = at[left[at] > 0]
+        counts = np.bincount(np.concatenate(places), minlength=n)
+        ends, ids = np.cumsum(counts), np.zeros(int(counts.sum()), np.int32)
+        for back, (at, token) in enumerate(zip(places, tokens), 1):
+            ids[ends[at] - back] = token
+        return ids, counts
 
 
 class EditableEncoding:
@@ -300,52 +341,195 @@ class EditableEncoding:
         return self.encoder.read(self.last)
 
 
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+@functools.cache
+def classes() -> np.ndarray:
+    """Of every code point: letter, number, white space or other, as the pattern's engine reads them."""
+    points = np.arange(0x110000, dtype="<u4")
+    points[0xD800:0xE000] = 0
+    every = points.tobytes().decode("utf-32-le")
+    out = np.full(len(every), OTHER, np.uint8)
+    for kind, some in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for match in regex.finditer(some, every):
+            out[match.start():match.end()] = kind
+    return out
+
+
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte's character in valid UTF-8."""
+    out = classes()[:256][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        point = data[lead].astype(np.int32) & (0x7F >> size)
+        for k in (1, 2, 3):
+            more = size > k
+            point[more] = point[more] << 6 | data[lead[more] + k] & 0x3F
+        kind = classes()[point]
+        for k in (0, 1, 2, 3):
+            out[lead[size > k] + k] = kind[size > k]
+    return out
+
+
+def common_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where matches of COMMON_PATTERN begin in texts of valid UTF-8; they leave nothing out.
+
+    A match begins where the class changes. Of a run of white space, the last character is parted from
+    the rest where text follows, and a blank goes with that text. An apostrophe that begins a match is
+    one with the letters of a contraction.
+    """
+    kind = byte_classes(data)
+    begins = np.ones(len(data), bool)
+    begins[1:] = kind[1:] != kind[:-1]
+    texts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    after = begins.copy()
+    begins[texts] = True
+    after[texts] = False
+    after = np.flatnonzero(after & (kind != SPACE))
+    after = after[kind[after - 1] == SPACE]
+    blank = data[after - 1] == 32
+    begins[after[blank]] = False
+    last = after - 1
+    while (inside := (data[last] & 0xC0) == 0x80).any():
+        last = last - inside
+    begins[last] = True
+    quote = np.flatnonzero((data == 39) & begins)
+    if len(quote):
+        room = offsets[np.searchsorted(offsets, quote, "right")] - quote
+        one, two = (np.where(room > k, data[np.minimum(quote + k, len(data) - 1)], 0) for k in (1, 2))
+        short = np.isin(one, list(b"stmd"))
+        size = np.where(short, 2, 3 * np.isin(one.astype(np.int32) << 8 | two, [0x7265, 0x7665, 0x6C6C]))
+        quote, size, room = (x[size > 0] for x in (quote, size, room))
+        begins[quote + 1] = False
+        begins[(quote + size)[size < room]] = True
+    return np.flatnonzero(begins)
+
+
 class Tokenizer:
     """Splits by a pattern, encodes every match by itself and decodes ids."""
 
     def __init__(self, batch: BatchEncoder, pattern: str):
-        self.batch, self.pattern, self.simple = batch, regex.compile(pattern), pattern == COMMON_PATTERN
+        self.batch, self.pattern, self.common = batch, regex.compile(pattern), pattern == COMMON_PATTERN
         self.tokens = {rank: token for token, rank in batch.ranks.items()}
-        self.names = {rank: str(rank) for rank in batch.ranks.values()}
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
-
-    def split(self, text: str) -> list[str]:
-        return (SIMPLE_PATTERN if self.simple and SIMPLE_TEXT.fullmatch(text) else self.pattern).findall(text)
+        #: The bytes of every token by its id, and the digits of every id with a comma.
+        self.bytes, self.digits = (Strings([f(x) for x in range(max(self.tokens) + 1)]) for f in (lambda x: self.tokens.get(x, b""), b"%d,".__mod__))
+        self.forget()
+
+    def forget(self) -> None:
+        #: Number of each piece that is known; where its ids begin among all, and how many they are.
+        self.number: dict[bytes, int] = {}
+        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def split(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matches in texts, as (their bytes, where each begins and the last ends, how many begin before
+        each text and in all). Bytes that are not UTF-8 are replaced, text by text."""
+        if not self.common:
+            found = [[x.encode() for x in self.pattern.findall(t) if x] for t in strings(offsets, data)]
+            pieces = [x for some in found for x in some]
+            return np.frombuffer(b"".join(pieces), np.uint8), sums(map(len, pieces)), sums(map(len, found))
+        starts = offsets[:-1][offsets[:-1] < offsets[1:]]
+        try:
+            data.tobytes().decode()
+            valid = not ((data[starts] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            valid = False
+        if not valid:
+            texts = [x.encode() for x in strings(offsets, data)]
+            offsets, data = sums(map(len, texts)), np.frombuffer(b"".join(texts), np.uint8)
+        begins = common_starts(data, offsets)
+        return data, np.append(begins, len(data)), np.searchsorted(begins, offsets)
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text]))
 
     def encode_all(self, texts: list[str]):
         """The ids of each text; what is new in any of them is encoded together."""
-        split = [self.split(x) for x in texts]
-        seen = set().union(*split)
-        if len(self._pieces) > CACHE_PIECES:
-            self._older, self._pieces = self._pieces, {}
-        known = self._pieces
-        new = seen.difference(known)
-        for x in [x for x in new if x in self._older]:
-            known[x] = self._older[x]
-            new.discard(x)
-        ranks = self.batch.ranks
-        parts: dict[int, list[str]] = {}
-        for x in new:
-            piece = x.encode()
-            if (token := ranks.get(piece)) is not None:
-                known[x] = (token,)
-            else:  # pieces of like length share a table, so that a long one doesn't widen it for all
-                parts.setdefault(len(piece).bit_length(), []).append(x)
-        for some in parts.values():
-            rows = max(1, (1 << 22) // (1 << len(some[0].encode()).bit_length()))
-            for i in range(0, len(some), rows):
-                known.update(zip(some[i:i + rows], self.batch.encode([x.encode() for x in some[i:i + rows]])))
-        for pieces in split:
-            yield list(chain.from_iterable([known[x] for x in pieces]))
+        raw = [x.encode() for x in texts]
+        ids, bounds = self.encode_bytes(sums(map(len, raw)), np.frombuffer(b"".join(raw), np.uint8))
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield ids[i:j].tolist()
+
+    def encode_bytes(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last ones end)."""
+        data, edges, texts = self.split(offsets, data)
+        if len(edges) < 2:
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        of = pieces.indices.to_numpy()
+        known = self.numbers(*buffers(pieces.dictionary))
+        first, count = self.first[known], self.count[known]
+        counts = count[of]
+        return self.ids[runs(first[of], counts)], np.append(0, np.cumsum(counts))[texts]
+
+    def numbers(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The numbers of distinct pieces; what is new is encoded."""
+        if len(self.number) > CACHE_PIECES or len(self.ids) > CACHE_IDS:
+            self.forget()
+        raw, at = data.tobytes(), offsets.tolist()
+        pieces = [raw[i:j] for i, j in zip(at, at[1:])]
+        out = np.array([self.number.get(x, -1) for x in pieces], np.int64)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            whole = np.array([self.batch.ranks.get(pieces[i], -1) for i in new.tolist()], np.int64)
+            token, cut = whole[whole >= 0], new[whole < 0]
+            ids, counts = self.batch.encode(data, offsets[cut], offsets[cut + 1] - offsets[cut])
+            names = np.concatenate([new[whole >= 0], cut])
+            count = np.concatenate([np.ones(len(token), np.int64), counts])
+            out[names] = len(self.number) + np.arange(len(names))
+            self.number.update(zip([pieces[i] for i in names.tolist()], out[names].tolist()))
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.ids = np.concatenate([self.ids, token.astype(np.int32), ids])
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class Strings:
+    """Byte strings by number, to be joined many at a time."""
+
+    def __init__(self, strings: list[bytes]):
+        self.bounds, self.data = sums(map(len, strings)), np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.diff(self.bounds)
+
+    def join(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the bytes, where each string begins and the last ends)."""
+        size = self.size[numbers]
+        return self.data[runs(self.bounds[numbers], size)], np.append(0, np.cumsum(size))
+
+    def hashes(self, numbers: np.ndarray, bounds: np.ndarray, cut: int = 0) -> list[str]:
+        """SHA-256 in hex of what each range of numbers joins to, without its last ``cut`` bytes; of a
+        long range, a part at a time."""
+        out = []
+        for i, j in steps(bounds, JOINED):
+            if bounds[j] - bounds[i] <= JOINED:
+                joined, ends = self.join(numbers[bounds[i]:bounds[j]])
+                at = ends[bounds[i:j + 1] - bounds[i]].tolist()
+                out += [hashlib.sha256(joined[a:max(a, b - cut)]).hexdigest() for a, b in zip(at, at[1:])]
+                continue
+            whole = hashlib.sha256()
+            for k in range(bounds[i], bounds[j], JOINED):
+                joined, _ = self.join(numbers[k:min(k + JOINED, bounds[j])])
+                whole.update(joined[:len(joined) - cut * (k + JOINED >= bounds[j])])
+            out.append(whole.hexdigest())
+        return out
+
+
+def sums(sizes) -> np.ndarray:
+    """0 and the running sums."""
+    return np.append(0, np.cumsum(np.fromiter(sizes, np.int64)))
+
+
+def strings(offsets: np.ndarray, data: np.ndarray) -> list[str]:
+    raw, at = data.tobytes(), offsets.tolist()
+    return [raw[i:j].decode("utf-8", "replace") for i, j in zip(at, at[1:])]
+
+
 _ready: dict[str, Tokenizer] = {}
 
 
@@ -371,24 +555,19 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
 
     def encoded(tok, part):
         """A few texts at a time, so that neither pieces nor ids of a whole batch are held."""
-        name = tok.names.__getitem__
-        out: dict[str, list] = {c: [] for c in new}
-        for got in tok.encode_all([x.decode("utf-8", "replace") for x in each_text(part.column(text_col))]):
-            out["n_tokens"].append(len(got))
-            out["ids_sha256"].append(hashlib.sha256(",".join(map(name, got)).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(tok.decode(got)).hexdigest())
-            if ids:
-                out["token_ids"].append(pa.array(got, pa.int32()))
+        offsets, data = buffers(part.column(text_col))
+        flat, bounds = tok.encode_bytes(offsets - offsets[0], data[offsets[0]:offsets[-1]])
+        out = {"n_tokens": pa.array(np.diff(bounds), pa.int64())}
+        out["ids_sha256"] = pa.array(tok.digits.hashes(flat, bounds, 1), pa.string())
+        out["decoded_sha256"] = pa.array(tok.bytes.hashes(flat, bounds), pa.string())
         if ids:
-            flat = out.pop("token_ids")
-            lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, flat))], pa.int32()), pa.concat_arrays(flat))
-        arrays = [part.column(c) for c in keep] + [pa.array(out[c], new[c]) for c in out] + ([lists] if ids else [])
-        return pa.RecordBatch.from_arrays(arrays, [*keep, *new])
+            out["token_ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+        return pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [out[c] for c in new], [*keep, *new])
 
     def run(batches):
         tok = tokenizer(key, table, pattern)
         for batch in batches:
-            for i, j in steps(buffers(batch.column(text_col))[0], 2 << 20):
+            for i, j in steps(buffers(batch.column(text_col))[0]):
                 yield encoded(tok, batch.slice(i, j - i))
         _ready.clear()
 

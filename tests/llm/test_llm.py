@@ -377,6 +377,60 @@ def test_bpe_operator(docs, none, ranks):
     assert bpe.bpe_encode(none, path, public.PATTERN).count() == 0
 
 
+def test_bpe_encodes_a_piece_once(ranks):
+    """In a task a piece that is met again, however much later, is known."""
+    public, table = ranks
+    tok = bpe.Tokenizer(bpe.BatchEncoder(bpe.PrefixEncoder(table)), public.PATTERN)
+    letters = "bcdfghjklmnpqrstvwxz"
+    words = ["".join(x) for x in itertools.islice(itertools.product(letters, repeat=5), 240_000)]
+    cut = {w for w in words if f" {w}".encode() not in table}
+    encode, encoded = tok.batch.encode, []
+    tok.batch.encode = lambda *args: encoded.append(len(args[-1])) or encode(*args)
+    for i in [*range(0, len(words), 40_000), 0]:
+        ids = list(tok.encode_all([" " + " ".join(words[i:i + 40_000])]))
+    assert sum(encoded) == len(cut)
+    assert tok.decode(ids[0]).decode() == " " + " ".join(words[:40_000])
+
+
+def test_bpe_splits_as_the_pattern(ranks, monkeypatch):
+    """Contractions, blanks and wide characters at the edges of many texts that are split together, pieces
+    that are forgotten, pairs that meet in a slot, and long ranges that are hashed by parts."""
+    import tiktoken
+
+    public, table = ranks
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=table, special_tokens={})
+    for name, value in (("CACHE_PIECES", 50), ("PAIR_SLOTS", 8), ("JOINED", 16), ("TABLE_BYTES", 64)):
+        monkeypatch.setattr(bpe, name, value, raising=False)
+    tok = bpe.Tokenizer(bpe.BatchEncoder(bpe.PrefixEncoder(table)), public.PATTERN)
+    rng = random.Random(3)
+    marks = ["a", "'", "'s", "'re", "'l", "ve", " ", "  ", "\n", "\u3000", "\xa0", "\x1c", "\x85", "\u0301", "\u0663", "5", "\u6f22", "\U0001f600", "."]
+    for _ in range(60):
+        texts = ["".join(rng.choices(marks, k=rng.randrange(9))) for _ in range(20)]
+        want = [library.encode_ordinary(t) for t in texts]
+        assert list(tok.encode_all(texts)) == want
+        flat, bounds = np.array([x for some in want for x in some], np.int32), bpe.sums(map(len, want))
+        assert tok.bytes.hashes(flat, bounds) == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+        assert tok.digits.hashes(flat, bounds, 1) == [hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for ids in want]
+
+
+def test_bpe_of_bytes_that_are_not_utf8(spark, ranks):
+    """Each text is read by itself: the first two together would be valid."""
+    import tiktoken
+
+    public, table = ranks
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    raw = [b"a \xc3", b"\xa9 b", b"\xff\xfe", "é it's".encode(), b"", None]
+    texts = spark.createDataFrame([(k, x) for k, x in enumerate(raw)], "k int, text binary").coalesce(1)
+    for pattern in (public.PATTERN, r"\p{L}+|\d"):
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        got = {r.k: r for r in bpe.bpe_encode(texts, path, pattern).collect()}
+        for k, x in enumerate(raw):
+            ids = library.encode_ordinary((x or b"").decode("utf-8", "replace"))
+            assert (got[k].token_ids, got[k].n_tokens) == (ids, len(ids))
+            assert got[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            assert got[k].decoded_sha256 == hashlib.sha256(library.decode_bytes(ids)).hexdigest()
+
+
 def test_token_counts(docs, none):
     pieces = {"▁al".encode(): -1.0, "pha".encode(): -2.0, "▁".encode(): -3.0, "a".encode(): -3.0, "ph".encode(): -3.0, "é".encode(): -4.0}
     counter = token_counts.TrieCounter(pieces)
