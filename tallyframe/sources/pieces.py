@@ -37,7 +37,7 @@ def unpacked(raw, size: int = PIECE) -> Iterator[bytes]:
         rest = machine.unconsumed_tail
         while piece:
             yield piece
-            piece = machine.decompress(rest, size) if rest else b""
+            piece = machine.decompress(rest, size) if rest and not machine.eof else b""
             rest = machine.unconsumed_tail
         if machine.eof:
             rest, machine, begun = machine.unused_data, zlib.decompressobj(31), False

@@ -1,4 +1,5 @@
 import gzip
+import itertools
 import json
 
 import pytest
@@ -63,6 +64,15 @@ def test_gzip_is_known_by_its_mark(spark, tmp_path):
     assert failed.value.code == "E_GZIP_DECOMPRESS"
 
 
+def test_unpacking_ends_with_the_members():
+    """Wherever a member's contents end in a piece, what follows it is read once."""
+    for n in range(1, 120):
+        packed = gzip.compress(bytes(range(n))) + gzip.compress(b"x" * n) + gzip.compress(b"last")
+        for size in (1, 16, 100):
+            got = b"".join(itertools.islice(raw.unpacked(packed, size), 1000))
+            assert got == bytes(range(n)) + b"x" * n + b"last"
+
+
 @pytest.mark.parametrize("quoted", [False, True])
 def test_folder_of_files(spark, tmp_path, quoted):
     """Each file has its header; rows are numbered on; one of the files is packed."""
